@@ -2,10 +2,604 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quiverlake.functions import constants as C
+from quiverlake.functions import vector as V
+from quiverlake.operators import calibration, metrics
+from quiverlake.operators import model as M
+from quiverlake.operators import search as S
+from quiverlake.plans import sql as Q
+from quiverlake.plans.sql import BITS, DIM, K, NQ, wrap
+from quiverlake.sources import datasets, npy
+
+MODEL = M.Model(DIM, BITS, Q.M)
+FLAT = M.Model(DIM, BITS, 0)
+FIRST = M.Model(DIM, BITS, Q.M, project_first=True)
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasets.read_vectors(spark, f"{sf_dir}/embeddings.parquet", "vec_id", "embedding")
+
+
+def split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return datasets.holdout(vectors(spark, sf_dir), NQ)
+
+
+def result(df: DataFrame) -> DataFrame:
+    return df.select("qid", "rank", "id", V.round6(F.col("score")).alias("score"))
+
+
+def exact(spark, sf_dir, k: int = K) -> DataFrame:
+    corpus, asked = split(spark, sf_dir)
+    return S.exact_topk(corpus, asked, DIM, k)
+
+
+def found(spark, sf_dir, k: int = K, model: M.Model = MODEL, **options) -> DataFrame:
+    corpus, asked = split(spark, sf_dir)
+    return S.landmark_search(M.build(corpus, model), asked, model, k, **options)
+
+
+def per_row(df: DataFrame, fn, schema: str, key: str = "id") -> DataFrame:
+    """fn(matrix) -> columns after the key, over Arrow batches of (key, vec)."""
+
+    def run(batches):
+        names = [x.split(" ")[0] for x in schema.split(", ")]
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), *fn(M.matrix(b.column(1), DIM))], names)
+
+    return df.select(key, "vec").mapInArrow(run, schema)
+
+
+def lists(x: np.ndarray, kind=None) -> pa.Array:
+    kind = kind or pa.float64()
+    return pa.array(list(x), pa.list_(kind))
+
+
+def long(df: DataFrame, key: str, col: str, value: str, rounded: bool = True) -> DataFrame:
+    """One row per component: key, d, value."""
+    out = df.select(key, F.posexplode(col).alias("d", value))
+    return out.select(key, F.col("d").cast("bigint").alias("d"), V.round6(F.col(value)).alias(value) if rounded else F.col(value).cast("bigint").alias(value))
+
+
+def sql_long(source: str, key: str, col: str, value: str, rounded: bool = True) -> str:
+    shown = f"round({value}, 6) + 0.0" if rounded else f"{value}::BIGINT"
+    return f"SELECT {key}, d - 1 AS d, {shown} AS {value} FROM (SELECT {key}, unnest({col}) AS {value}, generate_subscripts({col}, 1) AS d FROM {source})"
+
+
+# scans and filters
+
+
+@query(f"WITH {Q.BASE} SELECT id, len(v) AS dim, round(v[1], 6) + 0.0 AS first, round(v[{DIM}], 6) + 0.0 AS last FROM e")
+def scan_embeddings(spark, sf_dir):
+    return vectors(spark, sf_dir).select("id", F.size("vec").cast("bigint").alias("dim"), V.round6(F.col("vec")[0].cast("double")).alias("first"), V.round6(F.col("vec")[DIM - 1].cast("double")).alias("last"))
+
+
+@query(f"WITH {Q.BASE} SELECT id FROM e WHERE id < 100")
+def scan_limit(spark, sf_dir):
+    return vectors(spark, sf_dir).where(F.col("id") < 100).select("id")
+
+
+@query("SELECT min(len(embedding)) AS dim_min, max(len(embedding)) AS dim_max, count(*) AS n_rows FROM embeddings")
+def dataset_meta(spark, sf_dir):
+    return datasets.meta(vectors(spark, sf_dir))
+
+
+@query(f"WITH {Q.BASE} SELECT 'corpus' AS part, count(*) AS n_rows, min(id) AS first, max(id) AS last FROM corpus UNION ALL SELECT 'queries', count(*), min(qid), max(qid) FROM queries")
+def holdout_split(spark, sf_dir):
+    corpus, asked = split(spark, sf_dir)
+    return corpus.select(F.lit("corpus").alias("part"), "id").union(asked.select(F.lit("queries"), "qid")).groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+@query(wrap(Q.BASE, Q.EXACT, select=f"SELECT * FROM ({Q.OUT} ({Q.best('exact_s')})) WHERE qid % 7 = 0"))
+def query_subset(spark, sf_dir):
+    corpus, asked = split(spark, sf_dir)
+    return result(S.exact_topk(corpus, asked.where(F.col("qid") % 7 == 0), DIM, K))
+
+
+@query(f"WITH {Q.BASE} SELECT round(avg(n), 6) + 0.0 AS norm_mean, round(min(n), 6) + 0.0 AS norm_min, round(max(n), 6) + 0.0 AS norm_max, count(*) AS n_rows FROM (SELECT sqrt(list_dot_product(v, v)) AS n FROM e)")
+def norm_stats(spark, sf_dir):
+    n = vectors(spark, sf_dir).select(V.vec_norm("vec").alias("n"))
+    return n.agg(V.round6(F.avg("n")).alias("norm_mean"), V.round6(F.min("n")).alias("norm_min"), V.round6(F.max("n")).alias("norm_max"), F.count(F.lit(1)).alias("n_rows"))
+
+
+# column functions
+
+
+def pairs(spark, sf_dir) -> DataFrame:
+    """The first three queries against the first 100 rows."""
+    corpus, asked = split(spark, sf_dir)
+    few = asked.where(F.col("qid") < asked.agg(F.min("qid")).first()[0] + 3).withColumnRenamed("vec", "q")
+    return corpus.where(F.col("id") < 100).join(F.broadcast(few))  # three rows
+
+
+PAIRS = "few AS (SELECT qid, q.v AS q, id, c.v AS v FROM queries q, corpus c WHERE id < 100 AND qid < (SELECT min(qid) + 3 FROM queries))"
+
+
+@query(wrap(Q.BASE, PAIRS, select="SELECT qid, id, list_dot_product(q, v) AS dot FROM few"))
+def dot_product(spark, sf_dir):
+    return pairs(spark, sf_dir).select("qid", "id", V.vec_dot("q", "vec").alias("dot"))
+
+
+@query(f"WITH {Q.BASE} SELECT id, sqrt(list_dot_product(v, v)) AS norm FROM e")
+def l2_norm(spark, sf_dir):
+    return vectors(spark, sf_dir).select("id", V.vec_norm("vec").alias("norm"))
+
+
+@query(wrap(Q.BASE, Q.unit("cu", "corpus", "id"), select=sql_long("cu", "id", "u", "x")))
+def l2_normalize(spark, sf_dir):
+    corpus, _ = split(spark, sf_dir)
+    return long(corpus.select("id", "vec", V.vec_norm("vec").alias("n")).select("id", V.vec_normalize("vec", F.col("n")).alias("u")), "id", "u", "x")
+
+
+@query(wrap(Q.BASE, Q.constants(), select="SELECT d - 1 AS d, round(x, 6) + 0.0 AS x, id FROM (SELECT id, unnest(y) AS x, generate_subscripts(y, 1) AS d FROM (SELECT id, list_transform(range(64), lambda i: list_sum(list_transform(range(64), lambda j: v[j + 1] * (CASE WHEN bit_count(i & j) % 2 = 1 THEN -1.0 ELSE 1.0 END)::DOUBLE)) / 8) AS y FROM corpus))"))
+def fwht(spark, sf_dir):
+    def run(x):
+        y = x.copy()
+        for w in (1, 2, 4, 8, 16, 32):
+            y = y.reshape(len(x), -1, 2, w)
+            y = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(x), DIM)
+        return [lists(y / 8)]
+
+    return long(per_row(split(spark, sf_dir)[0], run, "id bigint, y array<double>"), "id", "y", "x")
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.rotated("r", "corpus", "id"), select=sql_long("r", "id", "y", "x")))
+def rotate(spark, sf_dir):
+    return long(per_row(split(spark, sf_dir)[0], lambda x: [lists(C.rotate(M.normalise(x)))], "id bigint, y array<double>"), "id", "y", "x")
+
+
+# constants
+
+
+def values(columns: str, data) -> str:
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(repr(x) for x in r) + ')' for r in data)}) AS t({columns})"
+
+
+def _rotation_rows():
+    signs, perm, _ = C.rotation(DIM)
+    return [(i, int(signs[i]), int(perm[i])) for i in range(DIM)]
+
+
+@query("SELECT d::BIGINT AS d, sign::BIGINT AS sign, source::BIGINT AS source FROM (" + values("d, sign, source", _rotation_rows()) + ")")
+def rotation_constants(spark, sf_dir):
+    return spark.createDataFrame(_rotation_rows(), "d bigint, sign bigint, source bigint")
+
+
+def _codebook_rows():
+    return [(b, i, round(float(c), 7)) for b in (2, 3, 4) for i, c in enumerate(C.codebook(b, DIM)[1])]
+
+
+@query("SELECT bits::BIGINT AS bits, level::BIGINT AS level, centroid::DOUBLE AS centroid FROM (" + values("bits, level, centroid", _codebook_rows()) + ")")
+def codebook(spark, sf_dir):
+    return spark.createDataFrame(_codebook_rows(), "bits bigint, level bigint, centroid double")
+
+
+@query("SELECT i::BIGINT AS i, j::BIGINT AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS dot FROM range(48) a(i), range(48) b(j)")
+def landmark_basis(spark, sf_dir):
+    """Dot products of the basis' columns."""
+    cols = spark.createDataFrame([(j, [float(x) for x in c]) for j, c in enumerate(C.landmark_basis(DIM, Q.M).T)], "j bigint, v array<double>")
+    both = cols.select(F.col("j").alias("i"), F.col("v").alias("w")).join(F.broadcast(cols))
+    return both.select("i", "j", (F.round(V.vec_dot("w", "v"), 5) + F.lit(0.0)).alias("dot"))
+
+
+@query(wrap(Q.constants(), "c AS (SELECT unnest(land) AS v, generate_subscripts(land, 1) - 1 AS j FROM k), s AS (SELECT j, v, list_max(list_transform(v, lambda x: abs(x))) / 7 AS scale FROM c)", select="SELECT j, d - 1 AS d, (sign(x / scale) * floor(abs(x / scale) + 0.5))::BIGINT AS code FROM (SELECT j, scale, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM s)"))
+def basis_q4(spark, sf_dir):
+    codes, _ = C.basis_q4(DIM, Q.M)
+    return spark.createDataFrame([(j, d, int(codes[d, j])) for j in range(Q.M) for d in range(DIM)], "j bigint, d bigint, code bigint")
+
+
+# encoder steps
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.encoded(), select=sql_long("corpus_a", "id", "codes", "code", False)))
+def quantize_codes(spark, sf_dir):
+    bounds, _ = C.codebook(BITS, DIM)
+    return long(per_row(split(spark, sf_dir)[0], lambda x: [lists(np.searchsorted(bounds, C.rotate(M.normalise(x)), side="right"), pa.int64())], "id bigint, c array<bigint>"), "id", "c", "code", False)
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.encoded(), select="SELECT id, round(alpha, 6) + 0.0 AS alpha FROM corpus_a"))
+def encode_alpha(spark, sf_dir):
+    return per_row(split(spark, sf_dir)[0], lambda x: [pa.array(MODEL.scaled(x)[1])], "id bigint, alpha double").select("id", V.round6(F.col("alpha")).alias("alpha"))
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.encoded(), select=sql_long("corpus_l", "id", "land", "x")))
+def landmark_project(spark, sf_dir):
+    return long(per_row(split(spark, sf_dir)[0], lambda x: [lists(MODEL.scaled(x)[0] @ MODEL.basis())], "id bigint, l array<double>"), "id", "l", "x")
+
+
+def index(spark, sf_dir, model=MODEL) -> DataFrame:
+    return M.build(split(spark, sf_dir)[0], model)
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.encoded(), select="SELECT id, round(resid, 6) + 0.0 AS resid FROM idx"))
+def residual_norm(spark, sf_dir):
+    return index(spark, sf_dir).select("id", V.round6(F.col("resid")).alias("resid"))
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.encoded(), select="SELECT id, round(alpha, 6) + 0.0 AS alpha, round(resid, 6) + 0.0 AS resid FROM idx"))
+def landmark_encode(spark, sf_dir):
+    return index(spark, sf_dir).select("id", V.round6(F.col("alpha")).alias("alpha"), V.round6(F.col("resid")).alias("resid"))
+
+
+def unpacked(df: DataFrame, model=MODEL, shift: int = 0) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), lists(M.codes_of(b.column(1), model) >> shift, pa.int64())], ["id", "c"])
+
+    return long(df.select("id", "codes").mapInArrow(run, "id bigint, c array<bigint>"), "id", "c", "code", False)
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.encoded(), select=sql_long("idx", "id", "codes", "code", False)))
+def quantize_landmarks(spark, sf_dir):
+    return unpacked(index(spark, sf_dir))
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.encoded(), "sg AS (SELECT id, list_transform(codes, lambda c: c // 8) AS s FROM idx)", select=sql_long("sg", "id", "s", "code", False)))
+def sign_plane(spark, sf_dir):
+    return unpacked(index(spark, sf_dir), shift=BITS - 1)
+
+
+HEX = "upper(list_aggregate(list_transform(codes, lambda c: format('{:x}', c)), 'string_agg', ''))"
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.encoded(), select=f"SELECT id, {HEX} AS codes FROM idx"))
+def pack_codes(spark, sf_dir):
+    return index(spark, sf_dir).select("id", F.hex("codes").alias("codes"))
+
+
+INDEX_ROWS = f"SELECT id, {HEX} AS codes, round(alpha, 6) + 0.0 AS alpha, round(resid, 6) + 0.0 AS resid FROM idx"
+
+
+def index_rows(df: DataFrame) -> DataFrame:
+    return df.select("id", F.hex("codes").alias("codes"), V.round6(F.col("alpha")).alias("alpha"), V.round6(F.col("resid")).alias("resid"))
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.encoded(), select=INDEX_ROWS))
+def build_index(spark, sf_dir):
+    return index_rows(index(spark, sf_dir))
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.encoded(), select=INDEX_ROWS))
+def append_index(spark, sf_dir):
+    """Built in two parts."""
+    corpus, _ = split(spark, sf_dir)
+    return index_rows(M.build(corpus.where("id % 2 = 0"), MODEL).unionByName(M.build(corpus.where("id % 2 = 1"), MODEL)))
+
+
+@query(f"WITH {Q.BASE} SELECT count(*) AS n_rows, count(*) * 24 AS codes_bytes, count(*) * 32 AS index_bytes, 32.0::DOUBLE AS bytes_per_vector FROM corpus")
+def index_stats(spark, sf_dir):
+    return M.index_stats(index(spark, sf_dir), MODEL)
+
+
+@query(wrap(Q.BASE, Q.constants(0), Q.encoded(0), select=f"SELECT id, {HEX} AS codes, round(alpha, 6) + 0.0 AS alpha FROM idx"))
+def flat_encode(spark, sf_dir):
+    return index_rows(index(spark, sf_dir, FLAT)).drop("resid")
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.asked(), select=sql_long("q", "qid", "land", "x")))
+def query_project(spark, sf_dir):
+    return long(per_row(split(spark, sf_dir)[1], lambda x: [lists(MODEL.prepare(x)[0])], "qid bigint, l array<double>", "qid"), "qid", "l", "x")
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.asked(), select="SELECT qid, round(perp, 6) + 0.0 AS perp FROM q"))
+def query_perp(spark, sf_dir):
+    return per_row(split(spark, sf_dir)[1], lambda x: [pa.array(MODEL.prepare(x)[1])], "qid bigint, perp double", "qid").select("qid", V.round6(F.col("perp")).alias("perp"))
+
+
+@query(wrap(Q.BASE, "b AS (SELECT " + Q.rows(C.landmark_basis(DIM, DIM).T) + " AS land)", Q.unit("cu", "corpus", "id"), "c AS (SELECT id, list_transform(land, lambda l: list_dot_product(l, u)) AS y FROM cu, b)", select=sql_long("c", "id", "y", "x")))
+def landmark_cossim(spark, sf_dir):
+    return long(per_row(split(spark, sf_dir)[0], lambda x: [lists(M.normalise(x) @ C.landmark_basis(DIM, DIM))], "id bigint, y array<double>"), "id", "y", "x")
+
+
+# searches
+
+
+@query(wrap(Q.BASE, Q.EXACT, select=f"{Q.OUT} ({Q.best('exact_s')})"))
+def exact_topk(spark, sf_dir):
+    return result(exact(spark, sf_dir))
+
+
+_SQL["cosine_topk"] = _SQL["exact_topk"]
+
+
+@query(_SQL["exact_topk"])
+def cosine_topk(spark, sf_dir):
+    """As exact_topk, with column functions and a window alone."""
+    corpus, asked = split(spark, sf_dir)
+    c = corpus.select("id", "vec", V.vec_norm("vec").alias("n")).select("id", V.vec_normalize("vec", F.col("n")).alias("u"))
+    q = asked.select("qid", "vec", V.vec_norm("vec").alias("n")).select("qid", V.vec_normalize("vec", F.col("n")).alias("w"))
+    return result(S.rank(c.join(F.broadcast(q)).select("qid", "id", V.vec_dot("w", "u").alias("score")), K))  # the 50 held-out queries
+
+
+@query(wrap(Q.BASE, Q.EXACT, select=f"SELECT id, round(score, 6) + 0.0 AS score FROM exact_s WHERE qid = (SELECT min(qid) FROM queries) ORDER BY exact_s.score DESC, id LIMIT {K}"))
+def single_query_topk(spark, sf_dir):
+    corpus, asked = split(spark, sf_dir)
+    q = M.normalise(np.array([asked.orderBy("qid").first()["vec"]], float))[0]
+    c = corpus.select("id", "vec", V.vec_norm("vec").alias("n")).select("id", V.vec_normalize("vec", F.col("n")).alias("u"))
+    return c.select("id", V.vec_dot("u", V.literal(q)).alias("score")).orderBy(F.desc("score"), "id").limit(K).select("id", V.round6(F.col("score")).alias("score"))
+
+
+@query("SELECT qid, rank, id, score FROM (SELECT o_custkey AS qid, o_orderkey AS id, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3")
+def topk_per_query(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"))
+    return S.rank(orders, 3).select("qid", "rank", "id", "score")
+
+
+@query(wrap(Q.BASE, Q.EXACT, select="SELECT qid, id, round(score, 6) + 0.0 AS score FROM exact_s"))
+def score_matrix(spark, sf_dir):
+    corpus, asked = split(spark, sf_dir)
+    return S.exact_topk(corpus, asked, DIM, corpus.count()).select("qid", "id", V.round6(F.col("score")).alias("score"))
+
+
+@query(wrap(Q.BASE, Q.EXACT, "o AS (SELECT qid, id, score + (qid % 3) AS score FROM exact_s)", select=f"{Q.OUT} ({Q.best('o')})"))
+def score_offset(spark, sf_dir):
+    return result(exact(spark, sf_dir).withColumn("score", F.col("score") + F.col("qid") % 3))
+
+
+@query(wrap(Q.BASE, Q.EXACT, "o AS (SELECT * FROM exact_s WHERE (qid + id) % 3 = 0)", select=f"{Q.OUT} ({Q.best('o')})"))
+def masked_search(spark, sf_dir):
+    corpus, asked = split(spark, sf_dir)
+    scores = S.exact_topk(corpus, asked, DIM, corpus.count()).select("qid", "id", "score")
+    mask = scores.where((F.col("qid") + F.col("id")) % 3 == 0).select("qid", "id")
+    return result(S.masked(scores, mask, K))
+
+
+@query(wrap(Q.BASE, Q.EXACT, select="SELECT qid, count(*) AS n FROM exact_s WHERE score >= 0.2 GROUP BY qid"))
+def threshold_count(spark, sf_dir):
+    corpus, asked = split(spark, sf_dir)
+    return S.exact_topk(corpus, asked, DIM, corpus.count()).where("score >= 0.2").groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(wrap(Q.BASE, Q.EXACT, f"a AS ({Q.best('(SELECT * FROM exact_s WHERE id % 2 = 0)')}), b AS ({Q.best('(SELECT qid, id, score + 0.1 AS score FROM exact_s WHERE id % 3 = 0)')}), u AS (SELECT qid, id, max(score) AS score FROM (SELECT qid, id, score FROM a UNION ALL SELECT qid, id, score FROM b) GROUP BY qid, id)", select=f"{Q.OUT} ({Q.best('u')})"))
+def merge_results(spark, sf_dir):
+    corpus, asked = split(spark, sf_dir)
+    a = S.exact_topk(corpus.where("id % 2 = 0"), asked, DIM, K)
+    b = S.exact_topk(corpus.where("id % 3 = 0"), asked, DIM, K).withColumn("score", F.col("score") + 0.1)
+    return result(S.merge_results(a, b, K))
+
+
+@query(_SQL["exact_topk"])
+def multi_bucket_topk(spark, sf_dir):
+    corpus, asked = split(spark, sf_dir)
+    parts = [S.exact_topk(corpus.where(F.col("id") % 4 == b), asked, DIM, K) for b in range(4)]
+    return result(S.rank(parts[0].union(parts[1]).union(parts[2]).union(parts[3]).drop("rank"), K))
+
+
+@query(wrap(Q.BASE, Q.EXACT, select=f"SELECT qid, rank, 1000000 + id * 3 AS id, round(score, 6) + 0.0 AS score FROM ({Q.best('exact_s')})"))
+def id_remap(spark, sf_dir):
+    corpus, _ = split(spark, sf_dir)
+    mapping = corpus.select("id", (F.col("id") * 3 + 1000000).alias("mapped"))
+    return result(exact(spark, sf_dir).join(mapping, "id").drop("id").withColumnRenamed("mapped", "id"))
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.encoded(), Q.asked(), Q.scored(), select=f"{Q.OUT} ({Q.best('scores')})"))
+def landmark_search(spark, sf_dir):
+    return result(found(spark, sf_dir))
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.encoded(), Q.asked(), Q.scored("idx.alpha * list_dot_product(q.land, idx.point)"), select=f"{Q.OUT} ({Q.best('scores')})"))
+def landmark_scan(spark, sf_dir):
+    return result(found(spark, sf_dir, use_residual=False))
+
+
+@query(wrap(Q.BASE, Q.constants(0), Q.encoded(0), Q.asked(0), Q.scored(), select=f"{Q.OUT} ({Q.best('scores')})"))
+def flat_search(spark, sf_dir):
+    return result(found(spark, sf_dir, model=FLAT))
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.encoded(Q.M, True), Q.asked(), Q.scored(), select=f"{Q.OUT} ({Q.best('scores')})"))
+def project_then_quant(spark, sf_dir):
+    return result(found(spark, sf_dir, model=FIRST))
+
+
+SIGN = Q.scored("list_dot_product(q.land, list_transform(idx.codes, lambda c: (2 * (c // 8) - 1)::DOUBLE))", "signs")
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.encoded(), Q.asked(), SIGN, select=f"{Q.OUT} ({Q.best('signs')})"))
+def sign_scan(spark, sf_dir):
+    corpus, asked = split(spark, sf_dir)
+    return result(S.sign_search(M.build(corpus, MODEL), asked, MODEL, K))
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.encoded(), Q.asked(), SIGN, f"short AS ({Q.best('signs', 100)})", Q.scored(), "kept AS (SELECT scores.* FROM scores JOIN short USING (qid, id))", select=f"{Q.OUT} ({Q.best('kept')})"))
+def staged_search(spark, sf_dir):
+    corpus, asked = split(spark, sf_dir)
+    return result(S.staged_search(M.build(corpus, MODEL), asked, MODEL, K, shortlist=100, staged=True))
+
+
+def _rescored(n: int) -> str:
+    return wrap(Q.BASE, Q.constants(), Q.encoded(), Q.asked(), Q.scored(), f"short AS ({Q.best('scores', n)})", Q.EXACT, "kept AS (SELECT exact_s.* FROM exact_s JOIN short USING (qid, id))", select=f"{Q.OUT} ({Q.best('kept')})")
+
+
+@query(_rescored(K))
+def float_rescore(spark, sf_dir):
+    corpus, asked = split(spark, sf_dir)
+    return result(S.float_rescore(found(spark, sf_dir), corpus, asked, DIM, K))
+
+
+@query(_rescored(100))
+def wide_rescore(spark, sf_dir):
+    corpus, asked = split(spark, sf_dir)
+    return result(S.float_rescore(found(spark, sf_dir, 100), corpus, asked, DIM, K))
+
+
+@query()
+def lut_score(spark, sf_dir):
+    """Landmark search with int8 queries on the 4-bit basis."""
+    return result(found(spark, sf_dir, mode="q4"))
+
+
+# quality
+
+CURVE = metrics.cuts(K)
+LISTS = f"f AS ({Q.best('scores')}), x AS ({Q.best('exact_s')})"
+RECALL = f"""SELECT t, avg(first)::DOUBLE AS recall1, avg(part)::DOUBLE AS recall FROM (
+SELECT t, x.qid, max(CASE WHEN x.rank = 1 AND f.rank <= t THEN 1 ELSE 0 END) AS first, count(CASE WHEN x.rank <= t AND f.rank <= t THEN 1 END) / t::DOUBLE AS part
+FROM x LEFT JOIN f USING (qid, id), (SELECT unnest({CURVE})::BIGINT AS t) c GROUP BY t, x.qid) GROUP BY t"""
+CURVE_SQL = wrap(Q.BASE, Q.constants(), Q.encoded(), Q.asked(), Q.scored(), Q.EXACT, LISTS, f"c AS ({RECALL})", select="SELECT t, round(recall1, 6) + 0.0 AS recall1, round(recall, 6) + 0.0 AS recall FROM c")
+
+
+def curve(spark, sf_dir):
+    return metrics.recall_curve(found(spark, sf_dir), exact(spark, sf_dir), K).select("t", V.round6(F.col("recall1")).alias("recall1"), V.round6(F.col("recall")).alias("recall"))
+
+
+@query(CURVE_SQL)
+def recall_curve(spark, sf_dir):
+    return curve(spark, sf_dir)
+
+
+@query(f"SELECT t, recall1 FROM ({CURVE_SQL})")
+def recall1_at_t(spark, sf_dir):
+    return curve(spark, sf_dir).select("t", "recall1")
+
+
+@query(f"SELECT t, recall FROM ({CURVE_SQL})")
+def recall_at_t(spark, sf_dir):
+    return curve(spark, sf_dir).select("t", "recall")
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.encoded(), Q.asked(), Q.scored(), Q.EXACT, f"f AS ({Q.best('scores', 100)}), x AS ({Q.best('exact_s')}), h AS (SELECT x.qid, x.rank, CASE WHEN f.id IS NULL THEN 0 ELSE 1 END AS hit FROM x LEFT JOIN f USING (qid, id))", select="SELECT round(avg(part), 6) + 0.0 AS coverage, round(avg(first), 6) + 0.0 AS nn_found FROM (SELECT qid, avg(hit) AS part, max(CASE WHEN rank = 1 THEN hit ELSE 0 END) AS first FROM h GROUP BY qid)"))
+def shortlist_coverage(spark, sf_dir):
+    return metrics.coverage(found(spark, sf_dir, 100), exact(spark, sf_dir), K).select(V.round6(F.col("coverage")).alias("coverage"), V.round6(F.col("nn_found")).alias("nn_found"))
+
+
+PREFIXES = (16, 32, 48, 64)
+
+
+@query(wrap(Q.BASE, "b AS (SELECT " + Q.rows(C.landmark_basis(DIM, DIM).T) + " AS land)", Q.EXACT, "cy AS (SELECT id, list_transform(land, lambda l: list_dot_product(l, u)) AS y FROM cu, b), qy AS (SELECT qid, list_transform(land, lambda l: list_dot_product(l, u)) AS y FROM qu, b)", f"p AS (SELECT unnest({list(PREFIXES)})::BIGINT AS m)", "s AS (SELECT m, qid, id, list_dot_product(qy.y[1:m], cy.y[1:m]) AS score FROM cy, qy, p)", "r AS (SELECT *, row_number() OVER (PARTITION BY m, qid ORDER BY score DESC, id) AS rank FROM s), x AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM exact_s) WHERE rank = 1)", select="SELECT m, round(avg(CASE WHEN rank <= 20 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS nn_recall FROM r JOIN x USING (qid, id) GROUP BY m"))
+def prefix_recall(spark, sf_dir):
+    corpus, asked = split(spark, sf_dir)
+    first = exact(spark, sf_dir, 1).select("qid", "id")
+    out = None
+    for m in PREFIXES:
+        basis = C.landmark_basis(DIM, DIM)[:, :m]
+        rows = corpus.select(F.col("id").cast("bigint"), F.col("vec").cast("array<float>"))
+        near = S.scan(rows, asked, DIM, 20, lambda q, basis=basis: M.normalise(q) @ basis, lambda q, b, basis=basis: q @ (M.normalise(M.matrix(b.column(1), DIM)) @ basis).T)
+        hit = first.join(near.select("qid", "id", F.lit(1.0).alias("hit")), ["qid", "id"], "left").agg(V.round6(F.avg(F.coalesce("hit", F.lit(0.0)))).alias("nn_recall"))
+        part = hit.select(F.lit(m).cast("bigint").alias("m"), "nn_recall")
+        out = part if out is None else out.union(part)
+    return out
+
+
+_OUTER, _LO, _HI = calibration.tails(DIM, BITS)
+FIT = f"""coords AS (SELECT d - 1 AS d, x FROM (SELECT unnest(y) AS x, generate_subscripts(y, 1) AS d FROM r)),
+cal_n AS (SELECT count(*) AS n FROM corpus),
+cal_at AS (SELECT floor(n * {_LO!r}::DOUBLE)::BIGINT AS lo, greatest(least(floor(n * {_HI!r}::DOUBLE)::BIGINT, n - 1), floor(n * {_LO!r}::DOUBLE)::BIGINT + 1) AS hi FROM cal_n),
+cal_o AS (SELECT d, x, row_number() OVER (PARTITION BY d ORDER BY x) - 1 AS pos FROM coords),
+cal_q AS (SELECT d, max(CASE WHEN pos = lo THEN x END) AS q_lo, max(CASE WHEN pos = hi THEN x END) AS q_hi FROM cal_o, cal_at GROUP BY d),
+cal AS (SELECT d, q_lo, 2 * {_OUTER!r}::DOUBLE / (q_hi - q_lo) AS scale FROM cal_q)"""
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.rotated("r", "corpus", "id"), FIT, select=f"SELECT d, round(-{_OUTER!r}::DOUBLE / scale - q_lo, 6) + 0.0 AS shift, round(scale, 6) + 0.0 AS scale FROM cal"))
+def calibration_fit(spark, sf_dir):
+    return calibration.fit(split(spark, sf_dir)[0], DIM, BITS).select("d", V.round6(F.col("shift")).alias("shift"), V.round6(F.col("scale")).alias("scale"))
+
+
+@query(
+    wrap(
+        Q.BASE, Q.constants(0), Q.rotated("r", "corpus", "id"), FIT, f"cs AS (SELECT list(-{_OUTER!r}::DOUBLE / scale - q_lo ORDER BY d) AS shift, list(scale ORDER BY d) AS scale FROM cal)",
+        "cc AS (SELECT id, y, list_transform(range(64), lambda i: len(list_filter(b_lm, lambda b: (y[i + 1] + shift[i + 1]) * scale[i + 1] > b))) AS codes FROM r, k, cs)",
+        "ch AS (SELECT id, y, list_transform(range(64), lambda i: c_lm[codes[i + 1] + 1] / scale[i + 1] - shift[i + 1]) AS yhat FROM cc, k, cs)",
+        "idx AS (SELECT id, yhat AS point, CASE WHEN list_dot_product(y, yhat) <= 1e-12 THEN 0.0 ELSE sqrt(list_dot_product(y, y)) / list_dot_product(y, yhat) END AS alpha FROM ch)", Q.asked(0),
+        Q.scored("idx.alpha * list_dot_product(q.land, idx.point)"), select=f"{Q.OUT} ({Q.best('scores')})",
+    )
+)
+def calibrated_search(spark, sf_dir):
+    """Full-dimension codes of calibrated coordinates."""
+    corpus, asked = split(spark, sf_dir)
+    cal = calibration.fit(corpus, DIM, BITS).orderBy("d").collect()  # one row a dimension
+    shift, scale = np.array([r["shift"] for r in cal]), np.array([r["scale"] for r in cal])
+    bounds, cents = C.codebook(BITS, DIM)
+
+    def score(q, b):
+        y = C.rotate(M.normalise(M.matrix(b.column(1), DIM)))
+        yhat = cents[np.searchsorted(bounds, (y + shift) * scale, side="left")] / scale - shift
+        return (q @ yhat.T) * M.ratio(np.sqrt((y * y).sum(1)), (y * yhat).sum(1))
+
+    rows = corpus.select(F.col("id").cast("bigint"), F.col("vec").cast("array<float>"))
+    return result(S.scan(rows, asked, DIM, K, lambda q: C.rotate(M.normalise(q)), score))
+
+
+@query("WITH p AS (SELECT p_size::BIGINT AS x, min(p_retailprice) AS y FROM part GROUP BY p_size), o AS (SELECT *, min(y) OVER (ORDER BY x, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM p) SELECT x, y FROM o WHERE best IS NULL OR y < best")
+def pareto_front(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.col("p_size").cast("bigint").alias("x")).agg(F.min("p_retailprice").alias("y"))
+    return metrics.pareto_front(p, "x", "y")
+
+
+@query()
+def tune(spark, sf_dir):
+    """Fewest landmarks (in steps of 8) at which half of the true ten are in the first 64 found."""
+    truth = exact(spark, sf_dir).cache()
+
+    def run(m: int) -> float:
+        return metrics.coverage(found(spark, sf_dir, 64, M.Model(DIM, BITS, m)), truth, K).first()["coverage"]
+
+    best, seen = metrics.tune(run, list(range(8, DIM + 1, 8)), 0.5)
+    truth.unpersist()
+    return spark.createDataFrame([(m, r, m == best) for m, r in seen], "landmarks bigint, coverage double, chosen boolean")
+
+
+@query()
+def empirical_codebook(spark, sf_dir):
+    x = calibration.coordinates(split(spark, sf_dir)[0], DIM)
+    return spark.createDataFrame(list(enumerate(calibration.empirical_codebook(x, "x", BITS))), "level bigint, centroid double")
+
+
+def scratch(spark) -> str:
+    """A folder for files of a query: the shared one of the cluster, or a temporary one on a local session."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or f"file://{tempfile.gettempdir()}").rstrip("/") + "/quiverlake-cache"
+
+
+@query(_SQL["exact_topk"])
+def exact_topk_cache(spark, sf_dir):
+    key = {"source": sf_dir, "queries": NQ, "k": K, "metric": "cosine"}
+    return result(datasets.cached(spark, scratch(spark), key, lambda: exact(spark, sf_dir)))
+
+
+@query(f"WITH {Q.BASE} SELECT id, len(v) AS dim, round(v[1], 6) + 0.0 AS first FROM corpus")
+def scan_npy(spark, sf_dir):
+    """The corpus written as an NPY file and read again by row ranges; the file must be on a shared mount."""
+    path = os.path.join(scratch(spark).removeprefix("file://").removeprefix("file:"), f"{zlib.crc32(sf_dir.encode())}.npy")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    npy.write_npy(split(spark, sf_dir)[0], path)
+    return npy.read_npy(spark, path, 200).select("id", F.size("vec").cast("bigint").alias("dim"), V.round6(F.col("vec")[0].cast("double")).alias("first"))
+
+
+@query("SELECT o_orderpriority AS config, count(*) AS runs, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std FROM orders GROUP BY 1")
+def bench_summary(spark, sf_dir):
+    """Mean and sample deviation per configuration, here of order totals by priority."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_orderpriority").alias("config")).agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.stddev_samp("o_totalprice"), 4).alias("std"))
