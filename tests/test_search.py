@@ -56,7 +56,8 @@ def test_partitions_and_query_blocks_do_not_matter(spark, monkeypatch):
     one = S.landmark_search(M.build(frame(spark, x).coalesce(1), m), q, m, 5).orderBy("qid", "rank").collect()
     blocks = S.query_blocks
     monkeypatch.setattr(S, "query_blocks", lambda queries, dim: blocks(queries, dim, 8 * dim * 4))
-    assert one == S.landmark_search(M.build(frame(spark, x).repartition(7), m), q, m, 5).orderBy("qid", "rank").collect()
+    other = S.landmark_search(M.build(frame(spark, x).repartition(7), m), q, m, 5).orderBy("qid", "rank").collect()
+    assert [r[:3] for r in one] == [r[:3] for r in other] and np.allclose([r["score"] for r in one], [r["score"] for r in other])
 
 
 def test_edges(spark):
@@ -82,7 +83,8 @@ def test_save_append_load(spark, tmp_path):
     M.save(M.build(df.where("id < 25"), m), m, path)
     M.save(M.build(df.where("id >= 25"), m), m, path, append=True)
     index, model = M.load(spark, path)
-    assert model == m and sorted(map(str, index.collect())) == sorted(map(str, M.build(df, m).collect()))
+    got, want = index.orderBy("id").collect(), M.build(df, m).orderBy("id").collect()
+    assert model == m and [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2:] for r in got], [r[2:] for r in want])
     with pytest.raises(ValueError):
         M.save(M.build(df, m), M.Model(64, 3, 48), path, append=True)
 
