@@ -10,6 +10,11 @@ A first pass takes for each class its likeliest partner. Its links are confirmed
 components. A second pass over the same orders takes every likely pair, near or far in similarity, whose components
 differ, so that large groups of copies, whose members all lie in one component by then, cost no pairs.
 
+Where other components fill a row's window, the row is seen by its partners only as deep as the window reaches: the
+pass measures that depth, and from it follows the chance that all orders miss a partner. Rows for which that chance is
+above `MISS` get further orders, of longer stretches drawn anew from the signature, until it is not. So a dense region
+of unlike texts is not cut off at the window but sorted again and again, as often as its depth asks.
+
 Orders are range-partitioned by (tree, prefix, id) and so no region, however dense, meets in one task; pairs across a
 partition's edge are found in groups of the rows on either side.
 """
@@ -30,6 +35,8 @@ from quiverlake.llm.components import connected
 
 SHINGLE, TREES, LEVELS = 5, 12, 8
 HASHES = TREES * LEVELS
+#: Values in the stretches of further orders, and the chance at which a pair of 75 % may be missed before there are no more of them.
+LONG, MISS = 16, 1e-4
 #: Pairs at most (16 bytes each) that are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_PAIRS = 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -97,8 +104,13 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _text(df, id_col, text_col).mapInArrow(run, "doc bigint, n bigint, k1 bigint, k2 bigint, sig binary")
 
 
-def _orders(classes: DataFrame) -> DataFrame:
-    """classes (doc, sig, comp) once per tree: tree, key (the tree's stretch of the signature), doc, comp and short (a byte of every value)."""
+def _stretch(tree: int) -> np.ndarray:
+    """Places in the signature of the values that the tree sorts by: stretches of its own, then some drawn anew."""
+    return np.arange(tree * LEVELS, (tree + 1) * LEVELS) if tree < TREES else np.random.default_rng(tree).permutation(HASHES)[:LONG]
+
+
+def _orders(classes: DataFrame, start: int = 0) -> DataFrame:
+    """classes (doc, sig, comp, orders) once for each of its trees from start on: tree, key (the tree's stretch of the signature), doc, comp and short (a byte of every value)."""
 
     def run(batches):
         for b in batches:
@@ -106,11 +118,14 @@ def _orders(classes: DataFrame) -> DataFrame:
                 continue
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, HASHES, 2)
             short = pa.array([r.tobytes() for r in np.ascontiguousarray(sig[:, :, 1])], pa.binary())
-            for t in range(TREES):
-                key = np.ascontiguousarray(sig[:, t * LEVELS : (t + 1) * LEVELS])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array([r.tobytes() for r in key], pa.binary()), b.column(0), b.column(2), short], ["tree", "key", "doc", "comp", "short"])
+            orders = b.column(3).to_numpy()
+            for t in range(start, start + int(orders.max())):
+                at = np.flatnonzero(orders > t - start)
+                key = np.ascontiguousarray(sig[at][:, _stretch(t)])
+                rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array([r.tobytes() for r in key], pa.binary()), b.column(0).take(rows), b.column(2).take(rows), short.take(rows)], ["tree", "key", "doc", "comp", "short"])
 
-    return classes.select("doc", "sig", "comp").mapInArrow(run, "tree int, key binary, doc bigint, comp bigint, short binary")
+    return classes.select("doc", "sig", "comp", "orders").mapInArrow(run, "tree int, key binary, doc bigint, comp bigint, short binary")
 
 
 def _pairs(rows: dict[str, np.ndarray], reach: int, least: float, cross: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,18 +153,26 @@ def _pairs(rows: dict[str, np.ndarray], reach: int, least: float, cross: int | N
 
 
 def _as_rows(t: pa.RecordBatch | pa.Table, depth: int) -> dict[str, np.ndarray]:
-    key = np.frombuffer(b"".join(t.column("key").to_pylist()), np.uint8).reshape(t.num_rows, 2 * LEVELS)
+    key = np.frombuffer(b"".join(t.column("key").to_pylist()), np.uint8)
+    key = key.reshape(t.num_rows, len(key) // max(1, t.num_rows))
+    tree = t.column("tree").to_numpy()
     region = np.zeros(t.num_rows, np.uint64)
     for k in range(2 * depth):
         region = region * np.uint64(256) + key[:, k]
     return {
-        "region": region * np.uint64(TREES) + t.column("tree").to_numpy().astype(np.uint64),
+        "region": region * np.uint64(1 << 20) + tree.astype(np.uint64),
+        "tree": tree,
+        "key": key,
         "comp": t.column("comp").to_numpy(),
         "doc": t.column("doc").to_numpy(),
         "short": np.frombuffer(b"".join(t.column("short").to_pylist()), np.uint8).reshape(t.num_rows, HASHES),
     }
 
 
+#: Columns of what a pass finds, and the value of edge that marks depths among them.
+_FOUND, DEPTHS = ["a", "b", "est", "edge", "tree", "key", "doc", "comp", "short"], -2
+
+
 def _emit(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, est: np.ndarray, best: bool) -> pa.RecordBatch:
     if best and len(i):
         # for each row the likeliest partner behind it and the likeliest before it
@@ -159,13 +182,27 @@ def _emit(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, est: np.nda
             keep[order[np.r_[True, side[order][1:] != side[order][:-1]]]] = True
         i, j, est = i[keep], j[keep], est[keep]
     a, b = rows["doc"][i], rows["doc"][j]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(est), *(pa.nulls(len(i), x) for x in (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], ["a", "b", "est", "edge", "tree", "key", "doc", "comp", "short"])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(est), *(pa.nulls(len(i), x) for x in (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], _FOUND)
+
+
+def _depths(rows: dict[str, np.ndarray], reach: int, old: int) -> pa.RecordBatch:
+    """Rows whose window ends within their region, on either side, at a row of another component, with the depth by which a partner must agree to be in it."""
+    i = np.arange(max(0, len(rows["region"]) - reach))
+    i = i[(i + reach >= old) & (rows["region"][i] == rows["region"][i + reach]) & (rows["comp"][i] != rows["comp"][i + reach])]
+    same = (rows["key"][i] == rows["key"][i + reach]).reshape(len(i), rows["key"].shape[1] // 2, 2).all(axis=2)
+    depth = np.cumprod(same, axis=1).sum(axis=1) + 1.0 if len(i) else np.zeros(0)
+    both, n = np.r_[i, i + reach], 2 * len(i)
+    null = {x: pa.nulls(n, x) for x in (pa.int64(), pa.binary())}
+    return pa.RecordBatch.from_arrays([null[pa.int64()], null[pa.int64()], pa.array(np.r_[depth, depth]), pa.array(np.full(n, DEPTHS, np.int64)), pa.array(rows["tree"][both].astype(np.int32)), null[pa.binary()], pa.array(rows["doc"][both]), null[pa.int64()], null[pa.binary()]], _FOUND)
+
 
+def candidates(classes: DataFrame, n_rows: int, start: int = 0, depth: int = 2, reach: int = 32, least: float = 0.58, best: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Likely pairs (a, b, est), a < b, of classes (doc, sig, comp, orders) whose components differ; and doc, tree and depth of rows in dense regions.
 
-def candidates(classes: DataFrame, n_classes: int, depth: int = 2, reach: int = 32, least: float = 0.58, best: bool = False) -> DataFrame:
-    """Likely pairs (a, b, est), a < b, of classes (doc, sig, comp) whose components differ."""
-    part = max(1, -(-n_classes * TREES // 40_000))
-    ordered = _orders(classes).repartitionByRange(part, "tree", "key", "doc").sortWithinPartitions("tree", "key", "doc")
+    n_rows: sum of orders. The classes are sorted by `orders` trees from the one numbered start on.
+    """
+    part = max(1, -(-n_rows // 40_000))
+    ordered = _orders(classes, start).repartitionByRange(part, "tree", "key", "doc").sortWithinPartitions("tree", "key", "doc")
     schema = "a bigint, b bigint, est double, edge bigint, tree int, key binary, doc bigint, comp bigint, short binary"
 
     def edge_rows(t: pa.Table, edge: int) -> list[pa.RecordBatch]:
@@ -188,6 +225,8 @@ def candidates(classes: DataFrame, n_classes: int, depth: int = 2, reach: int =
             i, j, est = _pairs(rows, reach, least)
             new = j >= old
             yield _emit(rows, i[new], j[new], est[new], best)
+            if not best:
+                yield _depths(rows, reach, old)
             carry = t.slice(max(0, t.num_rows - reach))
         if carry is not None:
             yield from edge_rows(carry, p)
@@ -198,8 +237,20 @@ def candidates(classes: DataFrame, n_classes: int, depth: int = 2, reach: int =
         return pa.Table.from_batches([_emit(rows, *_pairs(rows, reach, least), best)]).select(["a", "b", "est"])
 
     found = materialise(ordered.mapInArrow(run, schema), "dedup-found")
-    over = found.where("edge IS NOT NULL").select("edge", "tree", "key", "doc", "comp", "short").groupBy("edge").applyInArrow(across, "a bigint, b bigint, est double")
-    return found.where("edge IS NULL").select("a", "b", "est").union(over).groupBy("a", "b").agg(F.max("est").alias("est"))
+    over = found.where("edge >= 0").select("edge", "tree", "key", "doc", "comp", "short").groupBy("edge").applyInArrow(across, "a bigint, b bigint, est double")
+    pairs = found.where("edge IS NULL").select("a", "b", "est").union(over).groupBy("a", "b").agg(F.max("est").alias("est"))
+    return pairs, found.where(F.col("edge") == DEPTHS).groupBy("doc", "tree").agg(F.max("est").alias("depth"))
+
+
+def _owed(chance: DataFrame, depths: DataFrame, plain: float = 0.75**2) -> DataFrame:
+    """doc, orders still owed, chance (log of that of missing a pair of 75 %) and depth, of the docs that are owed any.
+
+    chance: doc and chance as it were with an open region in every tree so far; depths: what those trees had instead.
+    """
+    lost = depths.groupBy("doc").agg(F.sum(F.log1p(-F.pow(F.lit(0.75), "depth")) - F.lit(float(np.log1p(-plain)))).alias("lost"), F.max("depth").alias("depth"))
+    now = chance.join(lost, "doc").withColumn("chance", F.col("chance") + F.col("lost"))
+    need = F.ceil((F.lit(float(np.log(MISS))) - F.col("chance")) / F.log1p(-F.pow(F.lit(0.75), "depth"))).cast("int")
+    return now.select("doc", need.alias("orders"), "chance").where("orders > 0")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
@@ -249,18 +300,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ties = usable.join(classes.select("k1", "k2", F.col("doc").alias("rep")), ["k1", "k2"]).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     repeated = usable.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc")
     ties = ties.join(repeated, ties["b"] == repeated["doc"], "left_semi")
-    one = classes.groupBy("doc").agg(F.min(F.struct("k1", "k2", "sig")).alias("s")).select("doc", "s.sig", F.col("doc").alias("comp"))
-    first = materialise(candidates(one, n, best=True, reach=16), "dedup-first")
+    one = classes.groupBy("doc").agg(F.min(F.struct("k1", "k2", "sig")).alias("s")).select("doc", "s.sig", F.col("doc").alias("comp"), F.lit(TREES).alias("orders"))
+    first = materialise(candidates(one, n * TREES, best=True, reach=16)[0], "dedup-first")
     # of what a class found in all trees, the likeliest partner on either side
     top = first.groupBy(F.col("a").alias("d")).agg(F.max_by("b", "est").alias("e")).select(F.col("d").alias("a"), F.col("e").alias("b"))
     top = top.union(first.groupBy(F.col("b").alias("d")).agg(F.max_by("a", "est").alias("e")).select(F.col("e").alias("a"), F.col("d").alias("b"))).distinct()
-    top = materialise(top, "dedup-pairs")
-    links = materialise(verified(top, texts, percent).union(ties), "dedup-links")
+    tried = materialise(top, "dedup-pairs")
+    links = materialise(verified(tried, texts, percent).union(ties), "dedup-links")
     comps = materialise(connected(links), "dedup-components")
-    labelled = one.drop("comp").join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).select("doc", "sig", "comp")
-    more = materialise(candidates(labelled, n).join(top, ["a", "b"], "left_anti").select("a", "b"), "dedup-pairs")
-    links = materialise(links.union(verified(more, texts, percent)), "dedup-links")
-    comps = connected(links)
+
+    def labelled() -> DataFrame:
+        return one.drop("comp", "orders").join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).select("doc", "sig", "comp")
+
+    rows, start, each = labelled().withColumn("orders", F.lit(TREES)), 0, TREES
+    chance = one.select("doc", F.lit(TREES * float(np.log1p(-(0.75**2)))).alias("chance"))
+    total = n * TREES
+    while True:
+        more, depths = candidates(rows, total, start)
+        more = materialise(more.join(tried, ["a", "b"], "left_anti").select("a", "b"), "dedup-pairs")
+        links = materialise(links.union(verified(more, texts, percent)), "dedup-links")
+        comps = materialise(connected(links), "dedup-components")
+        owed = materialise(_owed(chance, depths), "dedup-owed")
+        start += each
+        total, each = owed.agg(F.coalesce(F.sum("orders"), F.lit(0)), F.coalesce(F.max("orders"), F.lit(0))).first()
+        if not total:
+            break
+        tried = tried.union(more)
+        rows = labelled().join(owed.select("doc", "orders"), "doc")
+        # the coming orders count as open until they turn out otherwise
+        chance = owed.select("doc", (F.col("chance") + F.col("orders") * F.lit(float(np.log1p(-(0.75**2))))).alias("chance"))
     known = classes.select("k1", "k2", "doc", "copies").join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")).where("copies > 1 OR component <> doc").select("k1", "k2", "component")
     out = sig.select("doc", "n", "k1", "k2").join(known, ["k1", "k2"], "left").withColumn("component", F.coalesce("component", "doc"))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc") == F.col("component"), F.lit(True)).alias("kept"))

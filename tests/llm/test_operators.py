@@ -119,6 +119,26 @@ def test_near_duplicates_odd(spark):
     assert dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_in_a_dense_region(spark, monkeypatch):
+    """Unlike texts around one common passage fill every window; near copies among them are found all the same."""
+    rng = np.random.default_rng(8)
+    common = [f"c{k}" for k in range(120)]
+    rows = []
+    for k in range(600):
+        own = [f"u{k}x{j}" for j in range(60)]
+        rows.append((2 * k, " ".join(common + own)))
+        if k % 10 == 0:
+            for j in range(5, 5 + 12 * int(rng.integers(3, 6)), 12):
+                own[j] += "y"
+            rows.append((2 * k + 1, " ".join(common + own)))
+    owed = []
+    plain = dedup._owed
+    monkeypatch.setattr(dedup, "_owed", lambda *a: owed.append(plain(*a).count()) or plain(*a))
+    got = dedup.near_duplicates(docs(spark, [(i, t, "s") for i, t in rows])).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+    assert owed[0] > 300 and owed[-1] == 0
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(1, 9), (9, 5), (7, 7)]
     got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
