@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -120,27 +120,37 @@ def label_tokens(docs: list[tuple[list[str], int]], least: int = 3, purity: floa
     `chance` features of their kind would be. Occurrences between the same neighbours count once, so copies of a
     document don't add up.
     """
-    seen: tuple[dict, dict] = ({}, {})
+    ids: dict[str, int] = {"": 0}
+    uses = [(array("q"), array("q")), (array("q"), array("q"))]  # clean, toxic: words, and their neighbours as two ids in one number
     for words, toxic in docs:
-        own = seen[1 if toxic else 0]
-        ends = ["", *words, ""]
-        for k in {w: k for k, w in enumerate(words)}.values():
-            w = words[k]
-            context = (ends[k], ends[k + 2])
-            for f in features(w):
-                own.setdefault(f, set()).add(context)
+        row = [0, *(ids.setdefault(w, len(ids)) for w in words), 0]
+        word, context = uses[1 if toxic else 0]
+        for w, k in {w: k for k, w in enumerate(row[1:-1])}.items():
+            word.append(w)
+            context.append(row[k] << 32 | row[k + 2])
+    found = []
+    for word, context in uses:
+        places = np.unique(np.array(context), return_inverse=True)[1]
+        found.append((np.array(word), places, int(places.max(initial=0)) + 1))
+    del uses
     base = min(0.5, max(1e-9, sum(t for _, t in docs) / max(1, len(docs))))
-    kinds: dict[tuple[str, int], Counter] = {}
-    for f in seen[0].keys() | seen[1].keys():
-        kinds.setdefault((f[0], len(f) if f[0] == "p" else 0), Counter())[len(seen[0].get(f, ())) + len(seen[1].get(f, ()))] += 1
     marks = set()
-    for f, contexts in seen[1].items():
-        n = len(contexts)
-        both = n + len(seen[0].get(f, ()))
-        if n >= least and n >= purity * both:
-            peers = sum(c for m, c in kinds[f[0], len(f) if f[0] == "p" else 0].items() if m >= both)
-            if peers * base**n * math.comb(both, n) < chance:
-                marks.add(f)
+    for size in (0, 4, 5, 6):  # one kind of feature at a time: words, then their beginnings; a word has one of a kind at most
+        grams: dict[str, int] = {}
+        own = np.array([grams.setdefault("p:" + w[:size] if size else "w:" + w, len(grams)) if len(w) >= size else -1 for w in ids])
+        counts = []
+        for word, places, width in found:
+            of = own[word]
+            has = of >= 0
+            counts.append(np.bincount(np.unique(of[has] * width + places[has]) // width, minlength=len(grams)))
+        both, n = counts[0] + counts[1], counts[1]
+        ranked = np.sort(both)
+        likely = np.flatnonzero((n >= least) & (n >= purity * both)).tolist()
+        names = list(grams) if likely else []
+        for k in likely:
+            peers = len(ranked) - int(np.searchsorted(ranked, both[k]))
+            if peers * base ** int(n[k]) * math.comb(int(both[k]), int(n[k])) < chance:
+                marks.add(names[k])
     return marks
 
 
@@ -230,7 +240,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Crf:
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     got = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").collect()
     got.sort(key=lambda r: (r[0], r[2] or ""))
-    return fit([(tokens(r[2]), int(r[1] == 1)) for r in got])
+    one: dict[str, str] = {}  # equal words share one string
+    return fit([([one.setdefault(w, w) for w in tokens(r[2])], int(r[1] == 1)) for r in got])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = TRAIN_ROWS) -> DataFrame:
