@@ -35,6 +35,8 @@ from quiverlake.llm.components import connected
 
 SHINGLE, TREES, LEVELS = 5, 12, 8
 HASHES = TREES * LEVELS
+#: Minimum hashes of which four bits are kept, from which similarity is estimated; the first HASHES of them are also kept in 16 bits, to sort by.
+VALUES = 192
 #: Values in the stretches of further orders, and the chance at which a pair of 75 % may be missed before there are no more of them.
 LONG, MISS = 16, 1e-4
 #: Pairs at most (16 bytes each) that are broadcast to fetch their texts; more are joined by shuffle.
@@ -63,18 +65,19 @@ def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
 @lru_cache
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(1)
-    return rng.integers(0, 2**31, (HASHES, 1), np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, (HASHES, 1), np.uint32)
+    return rng.integers(0, 2**31, (VALUES, 1), np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, (VALUES, 1), np.uint32)
 
 
-def signature(sh: np.ndarray, step: int = 2048) -> np.ndarray:
-    """HASHES minimum hashes, mixed down to 16 bits each."""
+def signature(sh: np.ndarray, step: int = 2048) -> bytes:
+    """HASHES minimum hashes, mixed down to 16 bits each, and then four bits of each of VALUES."""
     a, b = _functions()
     low = sh.astype(np.uint32)
     best = (low[:step] * a + b).min(axis=1)
     for k in range(step, len(low), step):
         best = np.minimum(best, (low[k : k + step] * a + b).min(axis=1))
     best = (best ^ (best >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    return (best >> np.uint32(16)).astype(">u2")
+    few = (best >> np.uint32(16) & np.uint32(15)).astype(np.uint8)
+    return (best[:HASHES] >> np.uint32(16)).astype(">u2").tobytes() + (few[::2] << 4 | few[1::2]).tobytes()
 
 
 def _text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -94,7 +97,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     d = xxhash.xxh3_128_intdigest(sh.tobytes())
                     k1.append((d >> 64) - (1 << 63))
                     k2.append((d & (2**64 - 1)) - (1 << 63))
-                    sig.append(signature(sh).tobytes())
+                    sig.append(signature(sh))
                 else:
                     k1.append(None)
                     k2.append(None)
@@ -110,14 +113,15 @@ def _stretch(tree: int) -> np.ndarray:
 
 
 def _orders(classes: DataFrame, start: int = 0) -> DataFrame:
-    """classes (doc, sig, comp, orders) once for each of its trees from start on: tree, key (the tree's stretch of the signature), doc, comp and short (a byte of every value)."""
+    """classes (doc, sig, comp, orders) once for each of its trees from start on: tree, key (the tree's stretch of the signature), doc, comp and short (four bits of every value)."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, HASHES, 2)
-            short = pa.array([r.tobytes() for r in np.ascontiguousarray(sig[:, :, 1])], pa.binary())
+            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, 2 * HASHES + VALUES // 2)
+            short = pa.array([r.tobytes() for r in np.ascontiguousarray(sig[:, 2 * HASHES :])], pa.binary())
+            sig = sig[:, : 2 * HASHES].reshape(b.num_rows, HASHES, 2)
             orders = b.column(3).to_numpy()
             for t in range(start, start + int(orders.max())):
                 at = np.flatnonzero(orders > t - start)
@@ -142,7 +146,9 @@ def _pairs(rows: dict[str, np.ndarray], reach: int, least: float, cross: int | N
         i = np.flatnonzero(same & (comp[:-o] != comp[o:]))
         if not len(i):
             continue
-        est = (short[i] == short[i + o]).mean(axis=1)
+        unlike = short[i] ^ short[i + o]
+        alike = ((unlike < 16).sum(axis=1) + (unlike & 15 == 0).sum(axis=1)) / VALUES
+        est = (alike - 1 / 16) / (15 / 16)  # one in 16 agrees by chance
         good = est >= least
         found[0].append(i[good])
         found[1].append(i[good] + o)
@@ -165,7 +171,7 @@ def _as_rows(t: pa.RecordBatch | pa.Table, depth: int) -> dict[str, np.ndarray]:
         "key": key,
         "comp": t.column("comp").to_numpy(),
         "doc": t.column("doc").to_numpy(),
-        "short": np.frombuffer(b"".join(t.column("short").to_pylist()), np.uint8).reshape(t.num_rows, HASHES),
+        "short": np.frombuffer(b"".join(t.column("short").to_pylist()), np.uint8).reshape(t.num_rows, VALUES // 2),
     }
 
 
@@ -196,7 +202,7 @@ def _depths(rows: dict[str, np.ndarray], reach: int, old: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([null[pa.int64()], null[pa.int64()], pa.array(np.r_[depth, depth]), pa.array(np.full(n, DEPTHS, np.int64)), pa.array(rows["tree"][both].astype(np.int32)), null[pa.binary()], pa.array(rows["doc"][both]), null[pa.int64()], null[pa.binary()]], _FOUND)
 
 
-def candidates(classes: DataFrame, n_rows: int, start: int = 0, depth: int = 2, reach: int = 32, least: float = 0.58, best: bool = False) -> tuple[DataFrame, DataFrame]:
+def candidates(classes: DataFrame, n_rows: int, start: int = 0, depth: int = 2, reach: int = 32, least: float = 0.62, best: bool = False) -> tuple[DataFrame, DataFrame]:
     """Likely pairs (a, b, est), a < b, of classes (doc, sig, comp, orders) whose components differ; and doc, tree and depth of rows in dense regions.
 
     n_rows: sum of orders. The classes are sorted by `orders` trees from the one numbered start on.
