@@ -4,7 +4,8 @@ Texts with the same set of shingles form one class from the start, so copies are
 signature of minimum hashes. A tree of the forest is an order: the classes sorted by a stretch of the signature of
 their own. In a sorted order the classes that share the longest prefixes are neighbours; the more classes of a region
 share a prefix, the deeper the prefix by which the next neighbours agree, so the depth adapts to the region. Every
-class is held against the next `reach` classes that share at least `depth` values.
+class is held against the next `reach` classes that share at least `depth` values. Of these pairs a sketch of the sets
+tells those that are worth a look at the texts (see `_likely`).
 
 A first pass takes for each class its likeliest partner. Its links are confirmed on full shingle sets and joined into
 components. A second pass over the same orders takes every likely pair, near or far in similarity, whose components
@@ -35,8 +36,10 @@ from quiverlake.llm.components import connected
 
 SHINGLE, TREES, LEVELS = 5, 12, 8
 HASHES = TREES * LEVELS
-#: Minimum hashes of which four bits are kept, from which similarity is estimated; the first HASHES of them are also kept in 16 bits, to sort by.
-VALUES = 192
+#: Bits in each half of a set's sketch, and the largest set that is sketched whole; of larger ones a half, a quarter and so on of their shingles are.
+BITS, WHOLE = 384, 512
+#: 64-bit numbers in a sketch: its two halves, and one with the scale and the sizes of the halves.
+SKETCH = 2 * BITS // 64 + 1
 #: Values in the stretches of further orders, and the chance at which a pair of 75 % may be missed before there are no more of them.
 LONG, MISS = 16, 1e-4
 #: Pairs at most (16 bytes each) that are broadcast to fetch their texts; more are joined by shuffle.
@@ -65,19 +68,35 @@ def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
 @lru_cache
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(1)
-    return rng.integers(0, 2**31, (VALUES, 1), np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, (VALUES, 1), np.uint32)
+    return rng.integers(0, 2**31, (HASHES, 1), np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, (HASHES, 1), np.uint32)
 
 
 def signature(sh: np.ndarray, step: int = 2048) -> bytes:
-    """HASHES minimum hashes, mixed down to 16 bits each, and then four bits of each of VALUES."""
+    """HASHES minimum hashes, mixed down to 16 bits each, and then the sketch."""
     a, b = _functions()
     low = sh.astype(np.uint32)
     best = (low[:step] * a + b).min(axis=1)
     for k in range(step, len(low), step):
         best = np.minimum(best, (low[k : k + step] * a + b).min(axis=1))
     best = (best ^ (best >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    few = (best >> np.uint32(16) & np.uint32(15)).astype(np.uint8)
-    return (best[:HASHES] >> np.uint32(16)).astype(">u2").tobytes() + (few[::2] << 4 | few[1::2]).tobytes()
+    return (best >> np.uint32(16)).astype(">u2").tobytes() + sketch(sh)
+
+
+def sketch(sh: np.ndarray) -> bytes:
+    """Parities of how many shingles fall on each of BITS places, from two halves of the set.
+
+    A hash deals shingles to levels: half to 0, a quarter to 1 and so on. With scale s, those of level s make one half of
+    the sketch and all above the other, s being the least that leaves WHOLE shingles or fewer on average. So sets of one
+    scale have both halves to compare; of two that are one apart, the smaller set's upper half and all of the larger's.
+    """
+    scale = (max(len(sh), WHOLE) - 1).bit_length() - (WHOLE - 1).bit_length()
+    y = sh * _MIX[4]
+    y = y[y >> np.uint64(8) & np.uint64((1 << scale) - 1) == 0]
+    lower = y >> np.uint64(8 + scale) & np.uint64(1)
+    places = ((y >> np.uint64(32)) * np.uint64(BITS) >> np.uint64(32)) + lower * np.uint64(BITS)
+    odd = np.bincount(places.astype(np.int64), minlength=2 * BITS) & 1
+    n = int(lower.sum())
+    return np.packbits(odd.astype(np.uint8)).tobytes() + np.array([scale | (len(y) - n) << 8 | n << 32], "<u8").tobytes()
 
 
 def _text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -113,13 +132,13 @@ def _stretch(tree: int) -> np.ndarray:
 
 
 def _orders(classes: DataFrame, start: int = 0) -> DataFrame:
-    """classes (doc, sig, comp, orders) once for each of its trees from start on: tree, key (the tree's stretch of the signature), doc, comp and short (four bits of every value)."""
+    """classes (doc, sig, comp, orders) once for each of its trees from start on: tree, key (the tree's stretch of the signature), doc, comp and short (the sketch)."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, 2 * HASHES + VALUES // 2)
+            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, 2 * HASHES + 8 * SKETCH)
             short = pa.array([r.tobytes() for r in np.ascontiguousarray(sig[:, 2 * HASHES :])], pa.binary())
             sig = sig[:, : 2 * HASHES].reshape(b.num_rows, HASHES, 2)
             orders = b.column(3).to_numpy()
@@ -132,7 +151,45 @@ def _orders(classes: DataFrame, start: int = 0) -> DataFrame:
     return classes.select("doc", "sig", "comp", "orders").mapInArrow(run, "tree int, key binary, doc bigint, comp bigint, short binary")
 
 
-def _pairs(rows: dict[str, np.ndarray], reach: int, least: float, cross: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _differing(unlike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From the bits in which half sketches differ: shingles of one set alone, at least so many, and an estimate."""
+    flips = np.bitwise_count(unlike).sum(axis=1, dtype=np.int64)
+    return flips, -BITS / 2 * np.log1p(-2 * np.minimum(flips, BITS // 2 - 1) / BITS)
+
+
+def _likely(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the sets of two rows of sketches may be linked, and their estimated similarity.
+
+    Two shingles on one place cancel out, so differing places never outnumber differing shingles: sets sketched whole
+    that differ too much by them can't be linked, which is no estimate. Besides, similarities estimated four standard
+    deviations below the limit or more are taken to be below: 0.015 for sets sketched whole (WHOLE shingles; less
+    for fewer), 0.0225 for others of one scale, 0.0325 for scales one apart. Scales further apart are sizes too unlike.
+    """
+    half = BITS // 64
+    meta = x[:, -1], y[:, -1]
+    scale = [(m & np.uint64(255)).astype(np.int64) for m in meta]
+    upper = [(m >> np.uint64(8) & np.uint64(0xFFFFFF)).astype(np.int64) for m in meta]
+    size = [u + (m >> np.uint64(32)).astype(np.int64) for u, m in zip(upper, meta, strict=True)]
+    likely, est = np.zeros(len(x), bool), np.zeros(len(x))
+    k = np.flatnonzero(scale[0] == scale[1])
+    if len(k):
+        unlike = x[k] ^ y[k]
+        (least, some), (least2, more) = _differing(unlike[:, :half]), _differing(unlike[:, half : 2 * half])
+        both, least, apart, whole = size[0][k] + size[1][k], least + least2, some + more, scale[0][k] == 0
+        est[k] = (both - apart) / np.maximum(1, both + apart)
+        possible = ~whole | (100 * (both - least) >= percent * (both + least))
+        likely[k] = possible & (est[k] >= percent / 100 - np.where(whole, 0.06, 0.09))
+    for lo, hi, ls, hs in ((x, y, 0, 1), (y, x, 1, 0)):
+        k = np.flatnonzero(scale[ls] + 1 == scale[hs])
+        if len(k):
+            apart = _differing(lo[k, :half] ^ hi[k, :half] ^ hi[k, half : 2 * half])[1]
+            both = upper[ls][k] + size[hs][k]
+            est[k] = (both - apart) / np.maximum(1, both + apart)
+            likely[k] = est[k] >= percent / 100 - 0.13
+    return likely, est
+
+
+def _pairs(rows: dict[str, np.ndarray], reach: int, percent: int, cross: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Likely pairs (index, index, estimate) among sorted rows: up to `reach` apart, in one region and of different components. cross: only pairs over this edge."""
     region, comp, short = rows["region"], rows["comp"], rows["short"]
     found = ([], [], [])
@@ -146,10 +203,7 @@ def _pairs(rows: dict[str, np.ndarray], reach: int, least: float, cross: int | N
         i = np.flatnonzero(same & (comp[:-o] != comp[o:]))
         if not len(i):
             continue
-        unlike = short[i] ^ short[i + o]
-        alike = ((unlike < 16).sum(axis=1) + (unlike & 15 == 0).sum(axis=1)) / VALUES
-        est = (alike - 1 / 16) / (15 / 16)  # one in 16 agrees by chance
-        good = est >= least
+        good, est = _likely(short[i], short[i + o], percent)
         found[0].append(i[good])
         found[1].append(i[good] + o)
         found[2].append(est[good])
@@ -171,7 +225,7 @@ def _as_rows(t: pa.RecordBatch | pa.Table, depth: int) -> dict[str, np.ndarray]:
         "key": key,
         "comp": t.column("comp").to_numpy(),
         "doc": t.column("doc").to_numpy(),
-        "short": np.frombuffer(b"".join(t.column("short").to_pylist()), np.uint8).reshape(t.num_rows, VALUES // 2),
+        "short": np.frombuffer(b"".join(t.column("short").to_pylist()), "<u8").reshape(t.num_rows, SKETCH),
     }
 
 
@@ -202,7 +256,7 @@ def _depths(rows: dict[str, np.ndarray], reach: int, old: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([null[pa.int64()], null[pa.int64()], pa.array(np.r_[depth, depth]), pa.array(np.full(n, DEPTHS, np.int64)), pa.array(rows["tree"][both].astype(np.int32)), null[pa.binary()], pa.array(rows["doc"][both]), null[pa.int64()], null[pa.binary()]], _FOUND)
 
 
-def candidates(classes: DataFrame, n_rows: int, start: int = 0, depth: int = 2, reach: int = 32, least: float = 0.62, best: bool = False) -> tuple[DataFrame, DataFrame]:
+def candidates(classes: DataFrame, n_rows: int, start: int = 0, depth: int = 2, reach: int = 32, percent: int = 75, best: bool = False) -> tuple[DataFrame, DataFrame]:
     """Likely pairs (a, b, est), a < b, of classes (doc, sig, comp, orders) whose components differ; and doc, tree and depth of rows in dense regions.
 
     n_rows: sum of orders. The classes are sorted by `orders` trees from the one numbered start on.
@@ -228,7 +282,7 @@ def candidates(classes: DataFrame, n_rows: int, start: int = 0, depth: int = 2,
             old = 0 if carry is None else carry.num_rows
             t = t if carry is None else pa.concat_tables([carry, t]).combine_chunks()
             rows = _as_rows(t, depth)
-            i, j, est = _pairs(rows, reach, least)
+            i, j, est = _pairs(rows, reach, percent)
             new = j >= old
             yield _emit(rows, i[new], j[new], est[new], best)
             if not best:
@@ -240,7 +294,7 @@ def candidates(classes: DataFrame, n_rows: int, start: int = 0, depth: int = 2,
     def across(t: pa.Table) -> pa.Table:
         t = t.take(pa.compute.sort_indices(t, [("tree", "ascending"), ("key", "ascending"), ("doc", "ascending")]))
         rows = _as_rows(t, depth)
-        return pa.Table.from_batches([_emit(rows, *_pairs(rows, reach, least), best)]).select(["a", "b", "est"])
+        return pa.Table.from_batches([_emit(rows, *_pairs(rows, reach, percent), best)]).select(["a", "b", "est"])
 
     found = materialise(ordered.mapInArrow(run, schema), "dedup-found")
     over = found.where("edge >= 0").select("edge", "tree", "key", "doc", "comp", "short").groupBy("edge").applyInArrow(across, "a bigint, b bigint, est double")
@@ -307,7 +361,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated = usable.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc")
     ties = ties.join(repeated, ties["b"] == repeated["doc"], "left_semi")
     one = classes.groupBy("doc").agg(F.min(F.struct("k1", "k2", "sig")).alias("s")).select("doc", "s.sig", F.col("doc").alias("comp"), F.lit(TREES).alias("orders"))
-    first = materialise(candidates(one, n * TREES, best=True, reach=16)[0], "dedup-first")
+    first = materialise(candidates(one, n * TREES, best=True, reach=16, percent=percent)[0], "dedup-first")
     # of what a class found in all trees, the likeliest partner on either side
     top = first.groupBy(F.col("a").alias("d")).agg(F.max_by("b", "est").alias("e")).select(F.col("d").alias("a"), F.col("e").alias("b"))
     top = top.union(first.groupBy(F.col("b").alias("d")).agg(F.max_by("a", "est").alias("e")).select(F.col("e").alias("a"), F.col("d").alias("b"))).distinct()
@@ -322,7 +376,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chance = one.select("doc", F.lit(TREES * float(np.log1p(-(0.75**2)))).alias("chance"))
     total = n * TREES
     while True:
-        more, depths = candidates(rows, total, start)
+        more, depths = candidates(rows, total, start, percent=percent)
         more = materialise(more.join(tried, ["a", "b"], "left_anti").select("a", "b"), "dedup-pairs")
         links = materialise(links.union(verified(more, texts, percent)), "dedup-links")
         comps = materialise(connected(links), "dedup-components")

@@ -112,6 +112,26 @@ def test_near_duplicates(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("size", [1, 4, 40, 146, 511, 512, 600, 1000, 1030, 5000, 70000])
+def test_sketches_keep_every_pair_that_may_be_linked(size):
+    """Pairs at or above the limit pass, within and across scales; those far below don't. Sets of the sizes, and somewhat larger ones."""
+    rng = np.random.default_rng(size)
+
+    def two(common, left, right):
+        x = rng.integers(0, 2**63, common + left + right, np.uint64) * np.uint64(2) + np.uint64(1)
+        rows = [np.frombuffer(dedup.sketch(np.sort(p)), "<u8")[None] for p in (x[: common + left], np.r_[x[:common], x[common + left :]])]
+        return dedup._likely(*rows, 75)
+
+    for _ in range(60):
+        left = int(rng.integers(0, size // 7 + 1))
+        right = size // 3 - left if size >= 3 else 0
+        ok, est = two(size, left, right)
+        assert ok[0], (size, left, right, est)
+    ok, est = two(size, size // 2 + 1, size // 2 + 1)
+    assert not ok[0] and est[0] < 0.66
+    assert not two(size, 4 * size, 0)[0][0]
+
+
 def test_near_duplicates_odd(spark):
     got = dedup.near_duplicates(docs(spark, ODD)).collect()
     assert len(got) == len(ODD) and {r["component_id"] for r in got if r["doc_id"] in (3, 4)} == {3}
