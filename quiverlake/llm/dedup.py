@@ -4,20 +4,22 @@ Texts with the same set of shingles form one class from the start, so copies are
 signature of minimum hashes. A tree of the forest is an order: the classes sorted by a stretch of the signature of
 their own. In a sorted order the classes that share the longest prefixes are neighbours; the more classes of a region
 share a prefix, the deeper the prefix by which the next neighbours agree, so the depth adapts to the region. Every
-class is held against the next `reach` classes that share at least `depth` values. Of these pairs a sketch of the sets
+class is held against the `reach` classes of other components before and behind it that share at least `depth` values,
+however many of its own component lie between. Of these pairs a sketch of the sets
 tells those that are worth a look at the texts (see `_likely`).
 
 A first pass takes for each class its likeliest partner. Its links are confirmed on full shingle sets and joined into
 components. A second pass over the same orders takes every likely pair, near or far in similarity, whose components
 differ, so that large groups of copies, whose members all lie in one component by then, cost no pairs.
 
-Where other components fill a row's window, the row is seen by its partners only as deep as the window reaches: the
-pass measures that depth, and from it follows the chance that all orders miss a partner. Rows for which that chance is
+Where other components fill a row's window, or a partition ends in it, the row sees its partners only as deep as the
+window reaches: the pass measures that depth, and from it follows the chance that all orders miss a partner. Rows for which that chance is
 above `MISS` get further orders, of longer stretches drawn anew from the signature, until it is not. So a dense region
 of unlike texts is not cut off at the window but sorted again and again, as often as its depth asks.
 
 Orders are range-partitioned by (tree, prefix, id) and so no region, however dense, meets in one task; pairs across a
-partition's edge are found in groups of the rows on either side.
+partition's edge are found in groups of the rows on either side, and rows too far from the edge count it as the end of
+their window.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ BITS, WHOLE = 384, 512
 SKETCH = 2 * BITS // 64 + 1
 #: Values in the stretches of further orders, and the chance at which a pair of 75 % may be missed before there are no more of them.
 LONG, MISS = 16, 1e-4
+#: Rows of sorted orders that a task takes at once.
+PART_ROWS = 40_000
 #: Pairs at most (16 bytes each) that are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_PAIRS = 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -189,27 +193,61 @@ def _likely(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.
     return likely, est
 
 
-def _pairs(rows: dict[str, np.ndarray], reach: int, percent: int, cross: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Likely pairs (index, index, estimate) among sorted rows: up to `reach` apart, in one region and of different components. cross: only pairs over this edge."""
-    region, comp, short = rows["region"], rows["comp"], rows["short"]
-    found = ([], [], [])
-    for o in range(1, min(reach, len(region) - 1) + 1):
-        same = region[:-o] == region[o:]
-        if cross is not None:
-            at = np.arange(len(region) - o)
-            same &= (at < cross) & (at + o >= cross)
-        elif not same.any():
-            break
-        i = np.flatnonzero(same & (comp[:-o] != comp[o:]))
+def _ahead(region: np.ndarray, comp: np.ndarray, reach: int):
+    """For each row the next `reach` rows of its region that are of other components, one step at a time: index, index."""
+
+    def ends(x: np.ndarray) -> np.ndarray:
+        at = np.r_[np.flatnonzero(x[1:] != x[:-1]) + 1, len(x)]
+        return np.repeat(at, np.diff(at, prepend=0))
+
+    if not len(region):
+        return
+    stop, run, i = ends(region), ends(comp), np.arange(len(region))
+    at = i + 1
+    for _ in range(reach):
+        keep = at < stop[i]
+        i, at = i[keep], at[keep]
+        at = np.where(comp[at] == comp[i], run[at], at)
+        keep = at < stop[i]
+        i, at = i[keep], at[keep]
         if not len(i):
-            continue
-        good, est = _likely(short[i], short[i + o], percent)
-        found[0].append(i[good])
-        found[1].append(i[good] + o)
-        found[2].append(est[good])
-    if not found[0]:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    return tuple(np.concatenate(x) for x in found)
+            return
+        yield i, at
+        at = at + 1
+
+
+def _pairs(rows: dict[str, np.ndarray], reach: int, percent: int, cross: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Likely pairs (index, index, estimate) among sorted rows of one region: one is among the `reach` rows of other components that follow the other or lead up to it.
+
+    Then the last row in each row's window ahead, and in that behind; n or -1 where the window ends with the rows or the
+    region. cross: only pairs over this edge.
+    """
+    region, comp, short = rows["region"], rows["comp"], rows["short"]
+    n, found = len(region), ([], [], [])
+    last, first = np.full(n, n), np.full(n, -1)
+
+    def add(i: np.ndarray, j: np.ndarray, seen: np.ndarray | None = None) -> None:
+        keep = np.ones(len(i), bool) if cross is None else (i < cross) & (j >= cross)
+        if seen is not None:
+            keep &= j > seen[i]
+        i, j = i[keep], j[keep]
+        if len(i):
+            good, est = _likely(short[i], short[j], percent)
+            found[0].append(i[good])
+            found[1].append(j[good])
+            found[2].append(est[good])
+
+    for k, (i, j) in enumerate(_ahead(region, comp, reach), 1):
+        add(i, j)
+        if k == reach:
+            last[i] = j
+    for k, (j, i) in enumerate(_ahead(region[::-1], comp[::-1], reach), 1):
+        i, j = n - 1 - i, n - 1 - j
+        add(i, j, last)
+        if k == reach:
+            first[j] = i
+    none = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    return *(tuple(np.concatenate(x) for x in found) if found[0] else none), last, first
 
 
 def _as_rows(t: pa.RecordBatch | pa.Table, depth: int) -> dict[str, np.ndarray]:
@@ -245,15 +283,13 @@ def _emit(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, est: np.nda
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(est), *(pa.nulls(len(i), x) for x in (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], _FOUND)
 
 
-def _depths(rows: dict[str, np.ndarray], reach: int, old: int) -> pa.RecordBatch:
-    """Rows whose window ends within their region, on either side, at a row of another component, with the depth by which a partner must agree to be in it."""
-    i = np.arange(max(0, len(rows["region"]) - reach))
-    i = i[(i + reach >= old) & (rows["region"][i] == rows["region"][i + reach]) & (rows["comp"][i] != rows["comp"][i + reach])]
-    same = (rows["key"][i] == rows["key"][i + reach]).reshape(len(i), rows["key"].shape[1] // 2, 2).all(axis=2)
+def _depths(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, edge: int | None = None) -> pa.RecordBatch:
+    """Rows i whose windows end at rows j of their region, with the depth by which a partner must agree to be in them. edge: that of the partition at which they end."""
+    same = (rows["key"][i] == rows["key"][j]).reshape(len(i), rows["key"].shape[1] // 2, 2).all(axis=2)
     depth = np.cumprod(same, axis=1).sum(axis=1) + 1.0 if len(i) else np.zeros(0)
-    both, n = np.r_[i, i + reach], 2 * len(i)
+    n = len(i)
     null = {x: pa.nulls(n, x) for x in (pa.int64(), pa.binary())}
-    return pa.RecordBatch.from_arrays([null[pa.int64()], null[pa.int64()], pa.array(np.r_[depth, depth]), pa.array(np.full(n, DEPTHS, np.int64)), pa.array(rows["tree"][both].astype(np.int32)), null[pa.binary()], pa.array(rows["doc"][both]), null[pa.int64()], null[pa.binary()]], _FOUND)
+    return pa.RecordBatch.from_arrays([null[pa.int64()], null[pa.int64()] if edge is None else pa.array(np.full(n, edge, np.int64)), pa.array(depth), pa.array(np.full(n, DEPTHS, np.int64)), pa.array(rows["tree"][i].astype(np.int32)), null[pa.binary()], pa.array(rows["doc"][i]), null[pa.int64()], null[pa.binary()]], _FOUND)
 
 
 def candidates(classes: DataFrame, n_rows: int, start: int = 0, depth: int = 2, reach: int = 32, percent: int = 75, best: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -261,45 +297,63 @@ def candidates(classes: DataFrame, n_rows: int, start: int = 0, depth: int = 2,
 
     n_rows: sum of orders. The classes are sorted by `orders` trees from the one numbered start on.
     """
-    part = max(1, -(-n_rows // 40_000))
-    ordered = _orders(classes, start).repartitionByRange(part, "tree", "key", "doc").sortWithinPartitions("tree", "key", "doc")
+    part = -(-n_rows // PART_ROWS)
+    ordered = _orders(classes, start)
+    ordered = (ordered.repartitionByRange(part, "tree", "key", "doc") if part > 1 else ordered.coalesce(1)).sortWithinPartitions("tree", "key", "doc")
     schema = "a bigint, b bigint, est double, edge bigint, tree int, key binary, doc bigint, comp bigint, short binary"
+    columns = ["tree", "key", "doc", "comp", "short"]
 
-    def edge_rows(t: pa.Table, edge: int) -> list[pa.RecordBatch]:
+    def edge_rows(t: pa.Table, edge: int, head: int) -> list[pa.RecordBatch]:
         n = t.num_rows
-        out = pa.table({"a": pa.nulls(n, pa.int64()), "b": pa.nulls(n, pa.int64()), "est": pa.nulls(n, pa.float64()), "edge": pa.array(np.full(n, edge, np.int64)), **{c: t.column(c) for c in ("tree", "key", "doc", "comp", "short")}})
+        out = pa.table({"a": pa.array(np.full(n, head, np.int64)), "b": pa.nulls(n, pa.int64()), "est": pa.nulls(n, pa.float64()), "edge": pa.array(np.full(n, edge, np.int64)), **{c: t.column(c) for c in columns}})
         return out.combine_chunks().to_batches()
 
     def run(batches):
-        p, carry, first = TaskContext.get().partitionId(), None, True
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b]).cast(pa.schema([("tree", pa.int32()), ("key", pa.binary()), ("doc", pa.int64()), ("comp", pa.int64()), ("short", pa.binary())]))
-            if first:
-                yield from edge_rows(t.slice(0, reach), p - 1)
-                first = False
-            old = 0 if carry is None else carry.num_rows
-            t = t if carry is None else pa.concat_tables([carry, t]).combine_chunks()
-            rows = _as_rows(t, depth)
-            i, j, est = _pairs(rows, reach, percent)
-            new = j >= old
-            yield _emit(rows, i[new], j[new], est[new], best)
+        p, got = TaskContext.get().partitionId(), [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got).cast(pa.schema([("tree", pa.int32()), ("key", pa.binary()), ("doc", pa.int64()), ("comp", pa.int64()), ("short", pa.binary())])).combine_chunks()
+        rows, n = _as_rows(t, depth), t.num_rows
+        i, j, est, last, first = _pairs(rows, reach, percent)
+        yield _emit(rows, i, j, est, best)
+        if not best:
+            full, behind = np.flatnonzero(last < n), np.flatnonzero(first >= 0)
+            yield _depths(rows, full, last[full])
+            yield _depths(rows, behind, first[behind])
+        if part > 1:
+            yield from edge_rows(t.slice(0, reach), p - 1, 1)
+            yield from edge_rows(t.slice(max(0, n - reach)), p, 0)
             if not best:
-                yield _depths(rows, reach, old)
-            carry = t.slice(max(0, t.num_rows - reach))
-        if carry is not None:
-            yield from edge_rows(carry, p)
+                # windows that are open at the edge, of rows too far from it to meet those on its other side
+                at = np.arange(n)
+                ahead = np.flatnonzero((last == n) & (rows["region"] == rows["region"][-1]) & (at < n - reach))
+                yield _depths(rows, ahead, np.full(len(ahead), n - 1), p)
+                behind = np.flatnonzero((first < 0) & (rows["region"] == rows["region"][0]) & (at >= reach))
+                yield _depths(rows, behind, np.zeros(len(behind), int), p - 1)
 
     def across(t: pa.Table) -> pa.Table:
-        t = t.take(pa.compute.sort_indices(t, [("tree", "ascending"), ("key", "ascending"), ("doc", "ascending")]))
-        rows = _as_rows(t, depth)
-        return pa.Table.from_batches([_emit(rows, *_pairs(rows, reach, percent), best)]).select(["a", "b", "est"])
+        t = t.take(pa.compute.sort_indices(t, [("a", "ascending"), ("tree", "ascending"), ("key", "ascending"), ("doc", "ascending")]))
+        rows, n, cross = _as_rows(t, depth), t.num_rows, t.num_rows - pa.compute.sum(t.column("a")).as_py()
+        i, j, est, last, first = _pairs(rows, reach, percent, cross)
+        out = [_emit(rows, i, j, est, best)]
+        if not best:
+            region, at = rows["region"], np.arange(n)
+            full = np.flatnonzero((at < cross) & ((last < n) | (region == region[-1])))
+            out.append(_depths(rows, full, np.minimum(last[full], n - 1)))
+            full = np.flatnonzero((at >= cross) & ((first >= 0) | (region == region[0])))
+            out.append(_depths(rows, full, np.maximum(first[full], 0)))
+        return pa.Table.from_batches(out).select(["a", "b", "est", "tree", "doc"])
 
     found = materialise(ordered.mapInArrow(run, schema), "dedup-found")
-    over = found.where("edge >= 0").select("edge", "tree", "key", "doc", "comp", "short").groupBy("edge").applyInArrow(across, "a bigint, b bigint, est double")
-    pairs = found.where("edge IS NULL").select("a", "b", "est").union(over).groupBy("a", "b").agg(F.max("est").alias("est"))
-    return pairs, found.where(F.col("edge") == DEPTHS).groupBy("doc", "tree").agg(F.max("est").alias("depth"))
+    pairs, cut = found.where("edge IS NULL").select("a", "b", "est"), found.where(F.col("edge") == DEPTHS)
+    if part > 1:
+        # rows lie on both sides of an edge from the first partition that has some up to the last
+        lo, hi = found.where("edge >= 0 AND a = 0").agg(F.min("edge"), F.max("edge")).first()
+        lo, hi = (0, 0) if lo is None else (lo, hi)
+        over = found.where(F.col("edge").between(lo, hi - 1)).select("edge", "a", *columns).groupBy("edge").applyInArrow(across, "a bigint, b bigint, est double, tree int, doc bigint")
+        pairs = pairs.union(over.where("a IS NOT NULL").select("a", "b", "est"))
+        cut = cut.where(F.col("b").isNull() | F.col("b").between(lo, hi - 1)).select("doc", "tree", "est").union(over.where("a IS NULL").select("doc", "tree", "est"))
+    return pairs.groupBy("a", "b").agg(F.max("est").alias("est")), cut.groupBy("doc", "tree").agg(F.max("est").alias("depth"))
 
 
 def _owed(chance: DataFrame, depths: DataFrame, plain: float = 0.75**2) -> DataFrame:
@@ -386,7 +440,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if not total:
             break
         tried = tried.union(more)
-        rows = labelled().join(owed.select("doc", "orders"), "doc")
+        rows = materialise(labelled().join(owed.select("doc", "orders"), "doc"), "dedup-dense")
         # the coming orders count as open until they turn out otherwise
         chance = owed.select("doc", (F.col("chance") + F.col("orders") * F.lit(float(np.log1p(-(0.75**2))))).alias("chance"))
     known = classes.select("k1", "k2", "doc", "copies").join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")).where("copies > 1 OR component <> doc").select("k1", "k2", "component")

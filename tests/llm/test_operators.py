@@ -159,6 +159,37 @@ def test_near_duplicates_in_a_dense_region(spark, monkeypatch):
     assert owed[0] > 300 and owed[-1] == 0
 
 
+def test_windows_skip_the_rows_of_a_class_own_component():
+    """A row behind a thousand of one component is held against every one of them, and another component's rows fill a window."""
+    n = 1000
+    comp = np.r_[np.zeros(n, int), 1, 2]
+    rows = {"region": np.zeros(n + 2, np.uint64), "comp": comp, "short": np.repeat(np.frombuffer(dedup.sketch(dedup.shingles("a b c d e f g")), "<u8")[None], n + 2, axis=0)}
+    i, j, _, last, first = dedup._pairs(rows, 32, 75)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a in range(n) for b in (n, n + 1)} | {(n, n + 1)}
+    assert (last == n + 2).all() and (first[:n] == -1).all() and (first[n:] >= 0).all()
+
+
+@pytest.mark.parametrize("part", [2_000])
+def test_near_duplicates_of_a_large_component(spark, monkeypatch, part):
+    """Texts linked to a few members of a large group of drifting copies, some of them by one link only, in one partition and in several."""
+    monkeypatch.setattr(dedup, "PART_ROWS", part)
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(80)]
+    rows = []
+    for k in range(400):
+        w = list(words)
+        for at in rng.choice(80, 1 + (k % 2), replace=False):
+            w[at] = f"v{k}x{at}"
+        rows.append((k, " ".join(w)))
+    for k in range(40):
+        w = rows[int(rng.integers(0, 400))][1].split()
+        for at in rng.choice(80, 3, replace=False):
+            w[at] = f"z{k}x{at}"
+        rows.append((2000 + k, " ".join(w)))
+    got = dedup.near_duplicates(docs(spark, [(i, t, "s") for i, t in rows])).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(1, 9), (9, 5), (7, 7)]
     got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
