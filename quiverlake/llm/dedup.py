@@ -14,7 +14,7 @@ differ, so that large groups of copies, whose members all lie in one component b
 
 Where other components fill a row's window, or a partition ends in it, the row sees its partners only as deep as the
 window reaches: the pass measures that depth, and from it follows the chance that all orders miss a partner. Rows for which that chance is
-above `MISS` get further orders, of longer stretches drawn anew from the signature, until it is not. So a dense region
+above `MISS` get further orders, of more values by hash functions of their own, until it is not. So a dense region
 of unlike texts is not cut off at the window but sorted again and again, as often as its depth asks.
 
 Orders are range-partitioned by (tree, prefix, id) and so no region, however dense, meets in one task; pairs across a
@@ -42,8 +42,8 @@ HASHES = TREES * LEVELS
 BITS, WHOLE = 384, 512
 #: 64-bit numbers in a sketch: its two halves, and one with the scale and the sizes of the halves.
 SKETCH = 2 * BITS // 64 + 1
-#: Values in the stretches of further orders, and the chance at which a pair of 75 % may be missed before there are no more of them.
-LONG, MISS = 16, 1e-4
+#: Values of further orders, the chance at which a pair of 75 % may be missed before there are no more of them, and how many are made before it is measured again.
+LONG, MISS, ROUND = 16, 1e-4, 64
 #: Rows of sorted orders that a task takes at once.
 PART_ROWS = 40_000
 #: Pairs at most (16 bytes each) that are broadcast to fetch their texts; more are joined by shuffle.
@@ -75,15 +75,26 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**31, (HASHES, 1), np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, (HASHES, 1), np.uint32)
 
 
-def signature(sh: np.ndarray, step: int = 2048) -> bytes:
-    """HASHES minimum hashes, mixed down to 16 bits each, and then the sketch."""
-    a, b = _functions()
+@lru_cache(maxsize=256)
+def _drawn(tree: int) -> tuple[np.ndarray, np.ndarray]:
+    """LONG hash functions of a further order's own."""
+    rng = np.random.default_rng([2, tree])
+    return rng.integers(0, 2**31, (LONG, 1), np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, (LONG, 1), np.uint32)
+
+
+def minima(sh: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 2048) -> bytes:
+    """The minimum of each hash function, mixed down to 16 bits."""
     low = sh.astype(np.uint32)
     best = (low[:step] * a + b).min(axis=1)
     for k in range(step, len(low), step):
         best = np.minimum(best, (low[k : k + step] * a + b).min(axis=1))
     best = (best ^ (best >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    return (best >> np.uint32(16)).astype(">u2").tobytes() + sketch(sh)
+    return (best >> np.uint32(16)).astype(">u2").tobytes()
+
+
+def signature(sh: np.ndarray) -> bytes:
+    """HASHES minimum hashes of 16 bits each, and then the sketch."""
+    return minima(sh, *_functions()) + sketch(sh)
 
 
 def sketch(sh: np.ndarray) -> bytes:
@@ -130,13 +141,19 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _text(df, id_col, text_col).mapInArrow(run, "doc bigint, n bigint, k1 bigint, k2 bigint, sig binary")
 
 
-def _stretch(tree: int) -> np.ndarray:
-    """Places in the signature of the values that the tree sorts by: stretches of its own, then some drawn anew."""
-    return np.arange(tree * LEVELS, (tree + 1) * LEVELS) if tree < TREES else np.random.default_rng(tree).permutation(HASHES)[:LONG]
+def _ties(doc: np.ndarray, tree: int) -> np.ndarray:
+    """32 bits for each row by which an order sorts rows of equal values, other ones in each order; as bytes."""
+    y = (doc.astype(np.uint64) + np.uint64(tree + 1) * _MIX[1]) * _MIX[0]
+    y = (y ^ (y >> np.uint64(29))) * _MIX[2]
+    y = (y ^ (y >> np.uint64(32))) * _MIX[3]
+    return (y >> np.uint64(32)).astype(">u4")[:, None].view(np.uint8)
 
 
-def _orders(classes: DataFrame, start: int = 0) -> DataFrame:
-    """classes (doc, sig, comp, orders) once for each of its trees from start on: tree, key (the tree's stretch of the signature), doc, comp and short (the sketch)."""
+_ORDERED = ["tree", "key", "doc", "comp", "short"]
+
+
+def _orders(classes: DataFrame) -> DataFrame:
+    """classes (doc, sig, comp) once for each of the first TREES: tree, key (the tree's stretch of the signature, and the tie), doc, comp and short (the sketch)."""
 
     def run(batches):
         for b in batches:
@@ -144,15 +161,28 @@ def _orders(classes: DataFrame, start: int = 0) -> DataFrame:
                 continue
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, 2 * HASHES + 8 * SKETCH)
             short = pa.array([r.tobytes() for r in np.ascontiguousarray(sig[:, 2 * HASHES :])], pa.binary())
-            sig = sig[:, : 2 * HASHES].reshape(b.num_rows, HASHES, 2)
-            orders = b.column(3).to_numpy()
-            for t in range(start, start + int(orders.max())):
-                at = np.flatnonzero(orders > t - start)
-                key = np.ascontiguousarray(sig[at][:, _stretch(t)])
-                rows = pa.array(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array([r.tobytes() for r in key], pa.binary()), b.column(0).take(rows), b.column(2).take(rows), short.take(rows)], ["tree", "key", "doc", "comp", "short"])
+            doc = b.column(0).to_numpy()
+            for t in range(TREES):
+                key = np.hstack([sig[:, 2 * t * LEVELS : 2 * (t + 1) * LEVELS], _ties(doc, t)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array([r.tobytes() for r in key], pa.binary()), b.column(0), b.column(2), short], _ORDERED)
 
-    return classes.select("doc", "sig", "comp", "orders").mapInArrow(run, "tree int, key binary, doc bigint, comp bigint, short binary")
+    return classes.select("doc", "sig", "comp").mapInArrow(run, "tree int, key binary, doc bigint, comp bigint, short binary")
+
+
+def _further(dense: DataFrame, start: int) -> DataFrame:
+    """The same of dense (doc, text, comp, orders) for each of its trees from start on, by hash functions drawn for the tree."""
+
+    def run(batches):
+        for b in batches:
+            for doc, text, comp, orders in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                sh = shingles(text)
+                if not len(sh):
+                    continue
+                trees = range(start, start + orders)
+                key = [minima(sh, *_drawn(t)) + _ties(np.array([doc]), t).tobytes() for t in trees]
+                yield pa.RecordBatch.from_arrays([pa.array(trees, pa.int32()), pa.array(key, pa.binary()), *(pa.array([x] * orders, kind) for x, kind in ((doc, pa.int64()), (comp, pa.int64()), (sketch(sh), pa.binary())))], _ORDERED)
+
+    return dense.select("doc", "text", "comp", "orders").mapInArrow(run, "tree int, key binary, doc bigint, comp bigint, short binary")
 
 
 def _differing(unlike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,7 +290,8 @@ def _as_rows(t: pa.RecordBatch | pa.Table, depth: int) -> dict[str, np.ndarray]:
     return {
         "region": region * np.uint64(1 << 20) + tree.astype(np.uint64),
         "tree": tree,
-        "key": key,
+        "key": key[:, :-4],
+        "tie": np.ascontiguousarray(key[:, -4:]).view(">u4")[:, 0].astype(np.float64),
         "comp": t.column("comp").to_numpy(),
         "doc": t.column("doc").to_numpy(),
         "short": np.frombuffer(b"".join(t.column("short").to_pylist()), "<u8").reshape(t.num_rows, SKETCH),
@@ -284,28 +315,33 @@ def _emit(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, est: np.nda
 
 
 def _depths(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, edge: int | None = None) -> pa.RecordBatch:
-    """Rows i whose windows end at rows j of their region, with the depth by which a partner must agree to be in them. edge: that of the partition at which they end."""
+    """Rows i whose windows end at rows j of their region, with the depth by which a partner must agree to be in them.
+
+    Of rows that tie on all values only some lie in a window: by the share of all ties that it spans, which then counts
+    as so many values more. edge: that of the partition at which they end.
+    """
     same = (rows["key"][i] == rows["key"][j]).reshape(len(i), rows["key"].shape[1] // 2, 2).all(axis=2)
-    depth = np.cumprod(same, axis=1).sum(axis=1) + 1.0 if len(i) else np.zeros(0)
-    n = len(i)
+    agree, n = np.cumprod(same, axis=1).sum(axis=1), len(i)
+    spanned = np.maximum(np.abs(rows["tie"][i] - rows["tie"][j]), 1) / 2**32
+    depth = np.where(agree == same.shape[1], agree + np.log(spanned) / np.log(0.75), agree + 1.0)
     null = {x: pa.nulls(n, x) for x in (pa.int64(), pa.binary())}
     return pa.RecordBatch.from_arrays([null[pa.int64()], null[pa.int64()] if edge is None else pa.array(np.full(n, edge, np.int64)), pa.array(depth), pa.array(np.full(n, DEPTHS, np.int64)), pa.array(rows["tree"][i].astype(np.int32)), null[pa.binary()], pa.array(rows["doc"][i]), null[pa.int64()], null[pa.binary()]], _FOUND)
 
 
 def candidates(classes: DataFrame, n_rows: int, start: int = 0, depth: int = 2, reach: int = 32, percent: int = 75, best: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Likely pairs (a, b, est), a < b, of classes (doc, sig, comp, orders) whose components differ; and doc, tree and depth of rows in dense regions.
+    """Likely pairs (a, b, est), a < b, of classes whose components differ; and doc, tree and depth of rows in dense regions.
 
-    n_rows: sum of orders. The classes are sorted by `orders` trees from the one numbered start on.
+    classes: doc, sig and comp for the first trees; for further ones, from the one numbered start on, doc, text, comp
+    and orders (how many of them). n_rows: rows of all orders together.
     """
     part = -(-n_rows // PART_ROWS)
-    ordered = _orders(classes, start)
+    ordered = _further(classes, start) if start else _orders(classes)
     ordered = (ordered.repartitionByRange(part, "tree", "key", "doc") if part > 1 else ordered.coalesce(1)).sortWithinPartitions("tree", "key", "doc")
     schema = "a bigint, b bigint, est double, edge bigint, tree int, key binary, doc bigint, comp bigint, short binary"
-    columns = ["tree", "key", "doc", "comp", "short"]
 
     def edge_rows(t: pa.Table, edge: int, head: int) -> list[pa.RecordBatch]:
         n = t.num_rows
-        out = pa.table({"a": pa.array(np.full(n, head, np.int64)), "b": pa.nulls(n, pa.int64()), "est": pa.nulls(n, pa.float64()), "edge": pa.array(np.full(n, edge, np.int64)), **{c: t.column(c) for c in columns}})
+        out = pa.table({"a": pa.array(np.full(n, head, np.int64)), "b": pa.nulls(n, pa.int64()), "est": pa.nulls(n, pa.float64()), "edge": pa.array(np.full(n, edge, np.int64)), **{c: t.column(c) for c in _ORDERED}})
         return out.combine_chunks().to_batches()
 
     def run(batches):
@@ -350,21 +386,21 @@ def candidates(classes: DataFrame, n_rows: int, start: int = 0, depth: int = 2,
         # rows lie on both sides of an edge from the first partition that has some up to the last
         lo, hi = found.where("edge >= 0 AND a = 0").agg(F.min("edge"), F.max("edge")).first()
         lo, hi = (0, 0) if lo is None else (lo, hi)
-        over = found.where(F.col("edge").between(lo, hi - 1)).select("edge", "a", *columns).groupBy("edge").applyInArrow(across, "a bigint, b bigint, est double, tree int, doc bigint")
+        over = found.where(F.col("edge").between(lo, hi - 1)).select("edge", "a", *_ORDERED).groupBy("edge").applyInArrow(across, "a bigint, b bigint, est double, tree int, doc bigint")
         pairs = pairs.union(over.where("a IS NOT NULL").select("a", "b", "est"))
         cut = cut.where(F.col("b").isNull() | F.col("b").between(lo, hi - 1)).select("doc", "tree", "est").union(over.where("a IS NULL").select("doc", "tree", "est"))
     return pairs.groupBy("a", "b").agg(F.max("est").alias("est")), cut.groupBy("doc", "tree").agg(F.max("est").alias("depth"))
 
 
 def _owed(chance: DataFrame, depths: DataFrame, plain: float = 0.75**2) -> DataFrame:
-    """doc, orders still owed, chance (log of that of missing a pair of 75 %) and depth, of the docs that are owed any.
+    """doc, orders still owed (ROUND at most, then the rest by what those find), chance (log of that of missing a pair of 75 %) and depth, of the docs that are owed any.
 
     chance: doc and chance as it were with an open region in every tree so far; depths: what those trees had instead.
     """
     lost = depths.groupBy("doc").agg(F.sum(F.log1p(-F.pow(F.lit(0.75), "depth")) - F.lit(float(np.log1p(-plain)))).alias("lost"), F.max("depth").alias("depth"))
     now = chance.join(lost, "doc").withColumn("chance", F.col("chance") + F.col("lost"))
-    need = F.ceil((F.lit(float(np.log(MISS))) - F.col("chance")) / F.log1p(-F.pow(F.lit(0.75), "depth"))).cast("int")
-    return now.select("doc", need.alias("orders"), "chance").where("orders > 0")
+    need = F.ceil((F.lit(float(np.log(MISS))) - F.col("chance")) / F.log1p(-F.pow(F.lit(0.75), F.least("depth", F.lit(LONG + 1.0)))))
+    return now.select("doc", F.least(need, F.lit(ROUND)).cast("int").alias("orders"), "chance").where("orders > 0")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
@@ -414,7 +450,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ties = usable.join(classes.select("k1", "k2", F.col("doc").alias("rep")), ["k1", "k2"]).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     repeated = usable.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc")
     ties = ties.join(repeated, ties["b"] == repeated["doc"], "left_semi")
-    one = classes.groupBy("doc").agg(F.min(F.struct("k1", "k2", "sig")).alias("s")).select("doc", "s.sig", F.col("doc").alias("comp"), F.lit(TREES).alias("orders"))
+    one = classes.groupBy("doc").agg(F.min(F.struct("k1", "k2", "sig")).alias("s")).select("doc", "s.sig", F.col("doc").alias("comp"))
     first = materialise(candidates(one, n * TREES, best=True, reach=16, percent=percent)[0], "dedup-first")
     # of what a class found in all trees, the likeliest partner on either side
     top = first.groupBy(F.col("a").alias("d")).agg(F.max_by("b", "est").alias("e")).select(F.col("d").alias("a"), F.col("e").alias("b"))
@@ -424,9 +460,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     comps = materialise(connected(links), "dedup-components")
 
     def labelled() -> DataFrame:
-        return one.drop("comp", "orders").join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).select("doc", "sig", "comp")
+        return one.drop("comp").join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).select("doc", "sig", "comp")
 
-    rows, start, each = labelled().withColumn("orders", F.lit(TREES)), 0, TREES
+    rows, start, each = labelled(), 0, TREES
     chance = one.select("doc", F.lit(TREES * float(np.log1p(-(0.75**2)))).alias("chance"))
     total = n * TREES
     while True:
@@ -440,7 +476,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if not total:
             break
         tried = tried.union(more)
-        rows = materialise(labelled().join(owed.select("doc", "orders"), "doc"), "dedup-dense")
+        hint = F.broadcast if small_enough(owed, BROADCAST_PAIRS) else (lambda x: x)
+        dense = labelled().select("doc", "comp").join(owed.select("doc", "orders"), "doc")
+        rows = materialise(texts.join(hint(materialise(dense, "dedup-owed")), "doc").select("doc", "text", "comp", "orders"), "dedup-dense")
         # the coming orders count as open until they turn out otherwise
         chance = owed.select("doc", (F.col("chance") + F.col("orders") * F.lit(float(np.log1p(-(0.75**2))))).alias("chance"))
     known = classes.select("k1", "k2", "doc", "copies").join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")).where("copies > 1 OR component <> doc").select("k1", "k2", "component")

@@ -169,6 +169,24 @@ def test_windows_skip_the_rows_of_a_class_own_component():
     assert (last == n + 2).all() and (first[:n] == -1).all() and (first[n:] >= 0).all()
 
 
+def test_further_orders_miss_as_seldom_as_if_independent():
+    """Of pairs at 0.75, with as many orders as the bound asks for at depth 10."""
+    rng = np.random.default_rng(4)
+    orders, missed = int(np.ceil(np.log(dedup.MISS) / np.log1p(-(0.75**10)))), 0
+    for _ in range(400):
+        x = rng.integers(0, 2**63, 120, np.uint64)
+        missed += not any(dedup.minima(x[:105], *dedup._drawn(t))[:20] == dedup.minima(np.r_[x[:90], x[105:]], *dedup._drawn(t))[:20] for t in range(dedup.TREES, dedup.TREES + orders))
+    assert missed <= 1
+
+
+def test_ties_count_by_the_share_that_a_window_spans():
+    doc = np.arange(5000)
+    rows = {"tree": np.zeros(5000, int), "doc": doc, "key": np.zeros((5000, 32), np.uint8), "tie": np.sort(dedup._ties(doc, 3).view(">u4")[:, 0]).astype(float)}
+    seen = 0.75 ** dedup._depths(rows, doc[:-32], doc[32:]).column(2).to_numpy() / 0.75**16
+    assert abs(seen.mean() - 32 / 5000) < 0.001
+    assert (np.argsort(dedup._ties(doc, 3).view(">u4")[:, 0]) != np.argsort(dedup._ties(doc, 4).view(">u4")[:, 0])).any()
+
+
 @pytest.mark.parametrize("part", [2_000])
 def test_near_duplicates_of_a_large_component(spark, monkeypatch, part):
     """Texts linked to a few members of a large group of drifting copies, some of them by one link only, in one partition and in several."""
