@@ -1,7 +1,7 @@
 """Main text of web pages by site template removal.
 
-Every element's subtree is hashed (its tag, its words and the hashes of its children). Spark counts on how many pages
-of each host a hash occurs; subtrees that recur on a large share of a host's pages are its template and are deleted.
+Every element's subtree is hashed (its tag, its words and the hashes of its children). Spark counts on how many different
+pages of each host a hash occurs; subtrees that recur on a large share of a host's pages are its template and are deleted.
 What names itself no article (navigation, header, footer, aside, forms, scripts, styles, adverts, notices, comments) is
 deleted too, for hosts with few pages have no template to count. If the page names its article (article, main), the text
 is that of the article.
@@ -198,9 +198,10 @@ def main_text(html: str | None, drop: frozenset[int] | set[int] = frozenset()) -
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 8, min_share: float = 0.6, broadcast_rows: int = 200_000) -> DataFrame:
     """Per page: id, url, text (never null) and n_chars (code points).
 
-    A subtree is template if it recurs on `min_pages` pages of its host and on `min_share` of them. Null and empty pages
+    A subtree is template if it recurs on `min_pages` different pages of its host and on `min_share` of them; pages of
+    one tree (without what is left out anyway) are one page, however many rows they have. Null and empty pages
     have the empty text; pages whose URL is null or has no host belong to no site and lose no template; repeated rows
-    each count as a page and give a row; an empty table gives none; other columns are not read. The counts cover all
+    each give a row; an empty table gives none; other columns are not read. The counts cover all
     pages; a host's table of templates is bounded by min_share (a host has at most 1 / min_share pages' worth), and it is
     broadcast only while all of them together have at most `broadcast_rows` rows, else joined.
     """
@@ -208,15 +209,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def hashes(batches):
         for b in batches:
-            hosts, out = [], []
+            hosts, trees, out = [], [], []
             for host, page in zip(b.column(0), b.column(1), strict=True):
-                got = template_hashes(page.as_py())
-                hosts.append([host.as_py()] * len(got))
-                out.append(got)
-            yield pa.RecordBatch.from_arrays([pa.array(list(chain.from_iterable(hosts)), pa.string()), pa.array(list(chain.from_iterable(out)), pa.int64())], ["host", "h"])
-
-    sizes = base.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    seen = base.where("host <> ''").select("host", "html").mapInArrow(hashes, "host string, h bigint").groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+                got: set[int] = set()
+                tree = _hash(_hashes(parse(page.as_py() or ""), got))
+                hosts.append([host.as_py()] * (len(got) + 1))
+                trees.append([tree] * (len(got) + 1))
+                out.append([None, *got])  # null stands for the page
+            yield pa.RecordBatch.from_arrays([pa.array(list(chain.from_iterable(hosts)), pa.string()), pa.array(list(chain.from_iterable(trees)), pa.int64()), pa.array(list(chain.from_iterable(out)), pa.int64())], ["host", "tree", "h"])
+
+    counts = base.where("host <> ''").select("host", "html").mapInArrow(hashes, "host string, tree bigint, h bigint").groupBy("host", "h").agg(F.countDistinct("tree").alias("n")).where(F.col("n") >= min_pages)
+    counts = materialise(counts, "html-counts")
+    sizes = counts.where("h IS NULL").select("host", F.col("n").alias("pages"))
+    seen = counts.where("h IS NOT NULL")
     templates = materialise(seen.join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share).groupBy("host").agg(F.collect_list("h").alias("hashes")), "html-templates")
     fits = small_enough(templates.select(F.explode("hashes")), broadcast_rows)
     joined = base.join(F.broadcast(templates) if fits else templates, "host", "left").select("id", "url", "html", "hashes")

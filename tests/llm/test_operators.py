@@ -42,6 +42,14 @@ def test_html_template(spark):
     assert html.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_html_copies_of_a_page_are_one_page(spark):
+    """Twenty copies of an article beside eight other pages of its host: the article stays, and the template goes."""
+    page = "<body><div><p>Buy our hats</p></div><section><p>{}</p></section><div><p>tail</p></div></body>"
+    rows = [(i, "http://h.org/x", page.format(f"page {i} says so" if i < 8 else "the copied article")) for i in range(28)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"page {i} says so" if i < 8 else "the copied article" for i in range(28)}
+
+
 # 2
 
 
