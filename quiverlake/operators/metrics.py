@@ -34,9 +34,25 @@ def coverage(candidates: DataFrame, exact: DataFrame, t: int) -> DataFrame:
 
 
 def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rows that no row with smaller (or equal) x beats or equals in y."""
-    w = W.orderBy(x, y).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("_best", F.min(y).over(w)).where(F.col("_best").isNull() | (F.col(y) < F.col("_best"))).drop("_best")
+    """Rows that no row with smaller (or equal) x beats or equals in y; of rows equal in both the first by the other columns.
+
+    Only the best row of each x meets the others, so what is ordered in one task is the different values of a sweep.
+    """
+    others = [c for c in df.columns if c not in (x, y)]
+    best = df.groupBy(x).agg(F.min(F.struct(y, *others)).alias("_s")).select(x, "_s.*")
+    w = W.orderBy(x).rowsBetween(W.unboundedPreceding, -1)
+    return best.withColumn("_best", F.min(y).over(w)).where(F.col("_best").isNull() | (F.col(y) < F.col("_best"))).select(*df.columns)
+
+
+def least_product(df: DataFrame, x: str, y: str) -> DataFrame:
+    """The row with the smallest x x y (ties: smaller x, then smaller y)."""
+    return df.orderBy(F.col(x) * F.col(y), x, y).limit(1)
+
+
+def summary(df: DataFrame, by: list[str], value: str, digits: int = 4) -> DataFrame:
+    """Per configuration: runs, mean, median (of an even number the upper one) and sample deviation (null for one run)."""
+    median = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)")
+    return df.groupBy(*by).agg(F.count(value).alias("runs"), F.round(F.avg(value), digits).alias("mean"), F.round(median, digits).alias("median"), F.round(F.stddev_samp(value), digits).alias("std"))
 
 
 def tune(run, values: list[int], target: float) -> tuple[int | None, list[tuple[int, float]]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -146,19 +147,24 @@ def build(df: DataFrame, model: Model, id_col: str = "id", vec_col: str = "vec")
 
 
 def save(index: DataFrame, model: Model, path: str, append: bool = False) -> None:
-    """Writes index rows; append adds to those there and refuses another model."""
+    """Writes index rows as a batch of their own; append adds to those there, streamed ones too, and refuses another model."""
     spark = index.sparkSession
     if append:
         if load(spark, path)[1] != model:
             raise ValueError("the index there was built by another model")
+        batch = f"append-{uuid.uuid4().hex}"
     else:
         spark.createDataFrame([(model.to_json(),)], "model string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
-    index.write.mode("append" if append else "overwrite").parquet(f"{path}/rows")
+        batch = "first"
+    rows = index.select("id", "codes", "alpha", "resid").withColumn("batch", F.lit(batch))
+    rows.write.mode("append" if append else "overwrite").option("partitionOverwriteMode", "static").partitionBy("batch").parquet(f"{path}/rows")
 
 
 def load(spark, path: str) -> tuple[DataFrame, Model]:
+    """All rows of a saved index (those of `save`, of appends and of streams) and its model."""
     model = Model(**json.loads(spark.read.text(f"{path}/model").first()[0]))
-    return spark.read.schema(INDEX_SCHEMA).parquet(f"{path}/rows"), model
+    rows = spark.read.schema(f"{INDEX_SCHEMA}, batch string").option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    return rows.drop("batch"), model
 
 
 def index_stats(index: DataFrame, model: Model) -> DataFrame:

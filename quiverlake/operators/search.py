@@ -24,75 +24,271 @@ def rank(df: DataFrame, k: int, query: str = "qid", item: str = "id") -> DataFra
 
 
 def query_blocks(queries: DataFrame, dim: int, query_bytes: int = QUERY_BYTES):
-    """(ids, vectors) of the queries (qid, vec), block after block, each within the bound."""
-    size, ids, rows = max(1, query_bytes // (8 * dim)), [], []
-    for r in queries.select(F.col("qid").cast("bigint"), F.col("vec").cast("array<double>")).toLocalIterator():
+    """(ids, vectors, offsets) of the queries (qid, vec and, if there is one, offset), block after block, each within the bound."""
+    size, ids, rows, offsets = max(1, query_bytes // (8 * dim)), [], [], []
+    offset = F.col("offset").cast("double") if "offset" in queries.columns else F.lit(0.0)
+    for r in queries.select(F.col("qid").cast("bigint"), F.col("vec").cast("array<double>"), offset).toLocalIterator():
         if r[1] is None or len(r[1]) != dim or None in r[1]:
             raise ValueError(f"every query must have {dim} components, none null")
         ids.append(r[0])
         rows.append(r[1])
+        offsets.append(0.0 if r[2] is None else r[2])
         if len(ids) == size:
-            yield np.array(ids), np.array(rows, float)
-            ids, rows = [], []
+            yield np.array(ids), np.array(rows, float), np.array(offsets)
+            ids, rows, offsets = [], [], []
     if ids:
-        yield np.array(ids), np.array(rows, float)
-
-
-def scan(df: DataFrame, queries: DataFrame, dim: int, k: int, prepare: Callable, score: Callable) -> DataFrame:
-    """qid, rank, id, score of the k best rows of df (id first). prepare(vectors) is broadcast; score(prepared, batch) gives queries x rows."""
-    spark, out = df.sparkSession, None
-    for qids, vectors in query_blocks(queries, dim):
-        shared = spark.sparkContext.broadcast((qids, prepare(vectors)))
+        yield np.array(ids), np.array(rows, float), np.array(offsets)
+
+
+class Best:
+    """Running top k of many queries: entries (query index, id, score), best first, ties to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self.q, self.i, self.s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        live = scores >= self.floor[q]
+        q, i, s = np.r_[self.q, q[live]], np.r_[self.i, ids[live]], np.r_[self.s, scores[live]]
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < self.k
+        self.q, self.i, self.s = q[keep], i[keep], s[keep]
+        last = place == self.k - 1
+        self.floor[q[last]] = s[last]
+
+    def likely(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a matrix queries x rows the entries that can be among the k best."""
+        n, floor = scores.shape[1], self.floor
+        if n > self.k:
+            floor = np.maximum(floor, np.partition(scores, n - self.k, axis=1)[:, n - self.k])
+        return np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+
+
+def _masked(df: DataFrame, mask: DataFrame | None, qids: np.ndarray) -> DataFrame:
+    """df's first columns and admitted, the queries (indexes into qids) that the mask (qid, id) lets a row in for; rows that it lets in for none are left out."""
+    if mask is None:
+        return df
+    index = df.sparkSession.createDataFrame([(int(q), k) for k, q in enumerate(qids.tolist())], "qid bigint, q int")
+    own = mask.select(F.col("qid").cast("bigint"), F.col("id").cast("bigint").alias("_m_id")).join(F.broadcast(index), "qid")  # a block of queries
+    admitted = own.groupBy("_m_id").agg(F.sort_array(F.collect_set("q")).alias("admitted"))
+    return df.join(admitted, F.col(df.columns[0]) == F.col("_m_id")).select(*df.columns, "admitted")
+
+
+def _scored(ready, offsets: np.ndarray, b: pa.RecordBatch, score: Callable, masked: bool):
+    """The scores of a batch in steps of bounded size: (rows, matrix of queries x rows, None), or (rows, scores, (query, row) of each) where a mask names few of the pairs. NaN becomes minus infinity."""
+
+    def clean(x: np.ndarray) -> np.ndarray:
+        return np.where(np.isnan(x), -np.inf, x)
+
+    for lo in range(0, b.num_rows, step := max(1, 4_000_000 // len(offsets))):
+        part = b.slice(lo, step)
+        if not masked:
+            yield part, clean(score(ready, part) + offsets[:, None]), None
+            continue
+        admitted = part.column(part.num_columns - 1)
+        at = admitted.flatten().to_numpy()
+        row = np.repeat(np.arange(part.num_rows), np.diff(admitted.offsets.to_numpy()))
+        if 4 * len(at) > len(offsets) * part.num_rows:
+            s = np.full((len(offsets), part.num_rows), -np.inf)
+            s[at, row] = (score(ready, part) + offsets[:, None])[at, row]
+            yield part, clean(s), None
+            continue
+        for k in range(0, len(at), 20_000):
+            pairs = at[k : k + 20_000], row[k : k + 20_000]
+            yield part, clean(score(ready, part, pairs) + offsets[pairs[0]]), pairs
+
+
+def _blocks(df: DataFrame, queries: DataFrame, dim: int, prepare: Callable, mask: DataFrame | None):
+    for qids, vectors, offsets in query_blocks(queries, dim):
+        yield _masked(df, mask, qids), df.sparkSession.sparkContext.broadcast((qids, prepare(vectors), offsets))
+
+
+def scan(df: DataFrame, queries: DataFrame, dim: int, k: int, prepare: Callable, score: Callable, mask: DataFrame | None = None) -> DataFrame:
+    """qid, rank, id, score of the k best rows of df (id first). prepare(vectors) is broadcast; score(prepared, batch) gives queries x rows, score(prepared, batch, (queries, rows)) those pairs.
+
+    Queries may have a column offset, which is added to all their scores. mask (qid, id): only these pairs are scored
+    into results; rows that no pair names are not read by the scan's tasks at all.
+    """
+    spark, out, masked = df.sparkSession, None, mask is not None
+    for rows, shared in _blocks(df, queries, dim, prepare, mask):
 
         def run(batches, shared=shared):
-            qids, ready = shared.value
-            best_s = np.zeros((len(qids), 0))
-            best_i = np.zeros((len(qids), 0), np.int64)
+            qids, ready, offsets = shared.value
+            best = Best(len(qids), k)
             for b in batches:
-                for lo in range(0, b.num_rows, step := max(1, 4_000_000 // len(qids))):
-                    part = b.slice(lo, step)
-                    s = np.concatenate([best_s, score(ready, part)], axis=1)
-                    i = np.concatenate([best_i, np.broadcast_to(part.column(0).to_numpy(), (len(qids), part.num_rows))], axis=1)
-                    s = np.where(np.isnan(s), -np.inf, s)
-                    order = np.lexsort((i, -s), axis=1)[:, :k]
-                    best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            live = best_s > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, live.sum(1))), pa.array(best_i[live]), pa.array(best_s[live])], ["qid", "id", "score"])
-
-        part = df.mapInArrow(run, "qid bigint, id bigint, score double")
+                for part, s, pairs in _scored(ready, offsets, b, score, masked):
+                    at, row = pairs or best.likely(s)
+                    s = s if pairs else s[at, row]
+                    some = s > -np.inf
+                    best.add(at[some], part.column(0).to_numpy()[row[some]], s[some])
+            yield pa.RecordBatch.from_arrays([pa.array(qids[best.q]), pa.array(best.i), pa.array(best.s)], ["qid", "id", "score"])
+
+        part = rows.mapInArrow(run, "qid bigint, id bigint, score double")
         out = part if out is None else out.union(part)
     if out is None:
         return spark.createDataFrame([], "qid bigint, rank bigint, id bigint, score double")
     return rank(out, k).select("qid", "rank", "id", "score")
 
 
-def exact_topk(corpus: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
-    """Exact cosine top k. corpus: id, vec; queries: qid, vec."""
-    rows = corpus.select(F.col("id").cast("bigint"), F.col("vec").cast("array<float>"))
-    return scan(rows, queries, dim, k, normalise, lambda q, b: q @ normalise(matrix(b.column(1), dim)).T)
+def count_at_least(df: DataFrame, queries: DataFrame, dim: int, least: float, prepare: Callable, score: Callable, mask: DataFrame | None = None) -> DataFrame:
+    """qid, n: how many rows of df score `least` or more, for queries with any. Every task counts; no pair leaves it."""
+    spark, out, masked = df.sparkSession, None, mask is not None
+    for rows, shared in _blocks(df, queries, dim, prepare, mask):
+
+        def run(batches, shared=shared):
+            qids, ready, offsets = shared.value
+            n = np.zeros(len(qids), np.int64)
+            for b in batches:
+                for _, s, pairs in _scored(ready, offsets, b, score, masked):
+                    n += np.bincount(pairs[0][s >= least], minlength=len(n)) if pairs else (s >= least).sum(axis=1)
+            some = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(qids[some]), pa.array(n[some])], ["qid", "n"])
+
+        part = rows.mapInArrow(run, "qid bigint, n bigint")
+        out = part if out is None else out.union(part)
+    out = spark.createDataFrame([], "qid bigint, n bigint") if out is None else out
+    return out.groupBy("qid").agg(F.sum("n").alias("n"))
+
+
+def all_scores(df: DataFrame, queries: DataFrame, dim: int, prepare: Callable, score: Callable, mask: DataFrame | None = None) -> DataFrame:
+    """qid, id, score of all pairs (of the mask, if there is one), unordered; they are given out batch by batch and nothing is kept."""
+    spark, out, masked = df.sparkSession, None, mask is not None
+    for rows, shared in _blocks(df, queries, dim, prepare, mask):
+
+        def run(batches, shared=shared):
+            qids, ready, offsets = shared.value
+            for b in batches:
+                for part, s, pairs in _scored(ready, offsets, b, score, masked):
+                    at, row = pairs or np.indices(s.shape).reshape(2, -1)
+                    s = s.ravel()
+                    some = s > -np.inf
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[at[some]]), pa.array(part.column(0).to_numpy()[row[some]]), pa.array(s[some])], ["qid", "id", "score"])
+
+        part = rows.mapInArrow(run, "qid bigint, id bigint, score double")
+        out = part if out is None else out.union(part)
+    return spark.createDataFrame([], "qid bigint, id bigint, score double") if out is None else out
+
+
+def product(q: np.ndarray, x: np.ndarray, pairs) -> np.ndarray:
+    """Dot products of all queries and rows, or of pairs (query, row) only."""
+    return q @ x.T if pairs is None else np.einsum("ij,ij->i", q[pairs[0]], x[pairs[1]])
+
+
+def _cosine(dim: int) -> tuple[Callable, Callable]:
+    return normalise, lambda q, b, pairs=None: product(q, normalise(matrix(b.column(1), dim)), pairs)
+
+
+def _vectors(corpus: DataFrame) -> DataFrame:
+    return corpus.select(F.col("id").cast("bigint"), F.col("vec").cast("array<float>"))
+
+
+def exact_topk(corpus: DataFrame, queries: DataFrame, dim: int, k: int, mask: DataFrame | None = None) -> DataFrame:
+    """Exact cosine top k. corpus: id, vec; queries: qid, vec (and offset)."""
+    return scan(_vectors(corpus), queries, dim, k, *_cosine(dim), mask)
+
+
+def exact_scores(corpus: DataFrame, queries: DataFrame, dim: int, mask: DataFrame | None = None) -> DataFrame:
+    """The cosine of every pair, or of those of the mask."""
+    return all_scores(_vectors(corpus), queries, dim, *_cosine(dim), mask)
+
+
+def exact_count(corpus: DataFrame, queries: DataFrame, dim: int, least: float, mask: DataFrame | None = None) -> DataFrame:
+    """qid, n: rows whose cosine is `least` or more."""
+    return count_at_least(_vectors(corpus), queries, dim, least, *_cosine(dim), mask)
 
 
 def _points(b: pa.RecordBatch, model: Model) -> np.ndarray:
     return C.codebook(model.bits, model.width)[1][codes_of(b.column(1), model)]
 
 
-def landmark_search(index: DataFrame, queries: DataFrame, model: Model, k: int, mode: str = "float", use_residual: bool = True) -> DataFrame:
-    """Scan of the codes: alpha x <query, code> + |query's rest| x |row's rest|; without landmarks the last term is 0."""
+def round_half_away(x: np.ndarray) -> np.ndarray:
+    return np.sign(x) * np.floor(np.abs(x) + 0.5)
+
+
+def lookup_tables(q: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query tables of a nibble each: values 0..127 (query, nibble, 16), scale and bias (query).
+
+    A nibble holds one code of 4 bits or two of 2 (or of 3, stored in a nibble each). A table is shifted by its minimum;
+    all of a query share the scale, their largest span over 127. The scale is 1 where all spans are 0.
+    """
+    cents = C.codebook(model.bits, model.width)[1]
+    if model.bits == 2:
+        codes = np.arange(16)
+        values = q[:, 0::2, None] * cents[codes >> 2] + q[:, 1::2, None] * cents[codes & 3]
+    else:
+        values = q[:, :, None] * np.resize(cents, 16)  # 3 bits leave half of a table unused; it repeats the levels
+    least = values.min(axis=2)
+    span = (values.max(axis=2) - least).max(axis=1)
+    scale = np.where(span > 0, span / 127, 1.0)
+    return np.clip(round_half_away((values - least[:, :, None]) / scale[:, None, None]), 0, 127), scale, least.sum(axis=1)
+
+
+def _nibbles(codes: np.ndarray, bits: int) -> np.ndarray:
+    return codes[:, 0::2] * 4 + codes[:, 1::2] if bits == 2 else codes
+
+
+def _table_scores(tables, codes: np.ndarray, pairs) -> np.ndarray:
+    values, scale, bias = tables
+    if pairs is not None:
+        at, row = pairs
+        return values[at[:, None], np.arange(codes.shape[1]), codes[row]].sum(axis=1) * scale[at] + bias[at]
+    total = np.zeros((len(scale), len(codes)))
+    for j in range(codes.shape[1]):
+        total += values[:, j][:, codes[:, j]]
+    return total * scale[:, None] + bias[:, None]
+
+
+def int8_query(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Queries as whole numbers from -127 to 127, and their scales (1 for a zero query)."""
+    top = np.abs(q).max(axis=1) / 127
+    scale = np.where(top > 0, top, 1.0)
+    return np.clip(round_half_away(q / scale[:, None]), -127, 127), scale
 
-    def score(ready, b):
-        q, perp = ready
-        s = (q @ _points(b, model).T) * b.column(2).to_numpy()
-        return s + np.outer(perp, b.column(3).to_numpy()) if use_residual else s
 
-    return scan(index, queries, model.dim, k, lambda q: model.prepare(q, mode), score)
+def landmark_search(index: DataFrame, queries: DataFrame, model: Model, k: int, mode: str = "float", use_residual: bool = True, mask: DataFrame | None = None) -> DataFrame:
+    """Scan of the codes: alpha x <query, code> + |query's rest| x |row's rest|; without landmarks the last term is 0.
+
+    mode: float; q4 (int8 queries on the 4-bit basis); lut (the product from the query's tables of 0..127); int8 (int8
+    queries times int8 levels). queries may have offsets and mask may name the pairs to score, as in `scan`.
+    """
+
+    def prepare(vectors):
+        land, perp = model.prepare(vectors, "q4" if mode == "q4" else "float")
+        if mode == "lut":
+            return lookup_tables(land, model), perp
+        return (int8_query(land) if mode == "int8" else land), perp
+
+    def score(ready, b, pairs=None):
+        q, perp = ready
+        if mode == "lut":
+            s = _table_scores(q, _nibbles(codes_of(b.column(1), model), model.bits), pairs)
+        elif mode == "int8":
+            cents = C.codebook(model.bits, model.width)[1]
+            unit = np.abs(cents).max() / 127
+            scale = q[1][:, None] if pairs is None else q[1][pairs[0]]
+            s = product(q[0], round_half_away(cents / unit)[codes_of(b.column(1), model)], pairs) * scale * unit
+        else:
+            s = product(q, _points(b, model), pairs)
+        alpha, rest = b.column(2).to_numpy(), b.column(3).to_numpy()
+        s = s * (alpha if pairs is None else alpha[pairs[1]])
+        if not use_residual:
+            return s
+        return s + (np.outer(perp, rest) if pairs is None else perp[pairs[0]] * rest[pairs[1]])
+
+    if mode not in ("float", "q4", "lut", "int8"):
+        raise ValueError(f"mode {mode} is not known")
+    return scan(index, queries, model.dim, k, prepare, score, mask)
 
 
 def sign_search(index: DataFrame, queries: DataFrame, model: Model, k: int, sign_alpha: bool = False) -> DataFrame:
     """Scan of the codes' signs only."""
 
-    def score(q, b):
-        s = q @ (2.0 * (codes_of(b.column(1), model) >> (model.bits - 1)) - 1.0).T
-        return s * b.column(2).to_numpy() if sign_alpha else s
+    def score(q, b, pairs=None):
+        s = product(q, 2.0 * (codes_of(b.column(1), model) >> (model.bits - 1)) - 1.0, pairs)
+        alpha = b.column(2).to_numpy()
+        return s * (alpha if pairs is None else alpha[pairs[1]]) if sign_alpha else s
 
     return scan(index, queries, model.dim, k, lambda q: model.prepare(q)[0], score)
 
@@ -104,56 +300,28 @@ def shortlist_size(k: int, bits: int) -> int:
 
 
 def rescore(short: DataFrame, index: DataFrame, queries: DataFrame, model: Model, k: int, mode: str = "float") -> DataFrame:
-    """Landmark scores of given (qid, id) pairs only; the k best of each query. Pairs meet codes and prepared queries by joins."""
-    schema = "qid bigint, land array<double>, perp double"
-
-    def ready(batches):
-        for b in batches:
-            if b.num_rows:
-                land, perp = model.prepare(matrix(b.column(1), model.dim), mode)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(land), pa.list_(pa.float64())), pa.array(perp)], ["qid", "land", "perp"])
-
-    q = queries.select(F.col("qid").cast("bigint"), F.col("vec").cast("array<double>")).mapInArrow(ready, schema)
-    pairs = short.select("qid", "id").join(index, "id").join(q, "qid").select("qid", "id", "codes", "alpha", "resid", "land", "perp")
+    """Landmark scores of given (qid, id) pairs only; the k best of each query. The pairs are the mask of a scan, so a row of the index moves once, whatever number of queries it is shortlisted for."""
+    return landmark_search(index, queries, model, k, mode, mask=short)
 
-    def run(batches):
-        cents = C.codebook(model.bits, model.width)[1]
-        for b in batches:
-            if b.num_rows:
-                s = (matrix(b.column(5), model.width) * cents[codes_of(b.column(2), model)]).sum(1) * b.column(3).to_numpy() + b.column(6).to_numpy() * b.column(4).to_numpy()
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], ["qid", "id", "score"])
 
-    return rank(pairs.mapInArrow(run, "qid bigint, id bigint, score double"), k).select("qid", "rank", "id", "score")
+def staged_search(index: DataFrame, queries: DataFrame, model: Model, k: int, shortlist: int | None = None, staged: bool | str = "auto", staged_min_rows: int = 32768, sign_alpha: bool = False) -> DataFrame:
+    """Sign stage, then landmark scores of its shortlist. auto: only for 4 bits and at least `staged_min_rows` rows.
 
-
-def staged_search(index: DataFrame, queries: DataFrame, model: Model, k: int, shortlist: int | None = None, staged: bool | str = "auto", staged_min_rows: int = 32768) -> DataFrame:
-    """Sign stage, then landmark scores of its shortlist. auto: only for 4 bits and at least `staged_min_rows` rows."""
+    Both stages read the index; one that is still to be built should be saved first.
+    """
     if staged == "auto":
         staged = model.bits == 4 and index.count() >= staged_min_rows
     if not staged:
         return landmark_search(index, queries, model, k)
-    return rescore(sign_search(index, queries, model, shortlist or shortlist_size(k, model.bits)), index, queries, model, k)
+    return rescore(sign_search(index, queries, model, shortlist or shortlist_size(k, model.bits), sign_alpha), index, queries, model, k)
 
 
 def float_rescore(short: DataFrame, corpus: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
     """Exact cosine of given (qid, id) pairs, the k best of each query; ids that are not in the corpus are left out."""
-    pairs = short.select("qid", "id").join(corpus.select("id", F.col("vec").alias("x")), "id").join(queries.select("qid", F.col("vec").alias("q")), "qid").select("qid", "id", F.col("x").cast("array<double>"), F.col("q").cast("array<double>"))
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                s = (normalise(matrix(b.column(2), dim)) * normalise(matrix(b.column(3), dim))).sum(1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], ["qid", "id", "score"])
-
-    return rank(pairs.mapInArrow(run, "qid bigint, id bigint, score double"), k).select("qid", "rank", "id", "score")
+    return exact_topk(corpus, queries, dim, k, mask=short)
 
 
 def merge_results(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """Union of two results; an id that both have counts with its better score."""
     both = a.select("qid", "id", "score").unionByName(b.select("qid", "id", "score")).groupBy("qid", "id").agg(F.max("score").alias("score"))
     return rank(both, k).select("qid", "rank", "id", "score")
-
-
-def masked(scores: DataFrame, mask: DataFrame, k: int) -> DataFrame:
-    """Top k of the scored pairs (qid, id, score) that the mask (qid, id) admits."""
-    return rank(scores.join(mask.select("qid", "id").distinct(), ["qid", "id"], "left_semi"), k).select("qid", "rank", "id", "score")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-import zlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ MODEL = M.Model(DIM, BITS, Q.M)
 FLAT = M.Model(DIM, BITS, 0)
 FIRST = M.Model(DIM, BITS, Q.M, project_first=True)
 
+_LOCAL: dict[str, str] = {}
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
@@ -135,19 +136,12 @@ def norm_stats(spark, sf_dir):
 # column functions
 
 
-def pairs(spark, sf_dir) -> DataFrame:
-    """The first three queries against the first 100 rows."""
-    corpus, asked = split(spark, sf_dir)
-    few = asked.where(F.col("qid") < asked.agg(F.min("qid")).first()[0] + 3).withColumnRenamed("vec", "q")
-    return corpus.where(F.col("id") < 100).join(F.broadcast(few))  # three rows
-
-
-PAIRS = "few AS (SELECT qid, q.v AS q, id, c.v AS v FROM queries q, corpus c WHERE id < 100 AND qid < (SELECT min(qid) + 3 FROM queries))"
-
-
-@query(wrap(Q.BASE, PAIRS, select="SELECT qid, id, list_dot_product(q, v) AS dot FROM few"))
+@query(wrap(Q.BASE, select="SELECT qid, id, round(list_dot_product(q.v, c.v), 6) + 0.0 AS dot FROM queries q, corpus c"))
 def dot_product(spark, sf_dir):
-    return pairs(spark, sf_dir).select("qid", "id", V.vec_dot("q", "vec").alias("dot"))
+    corpus, asked = split(spark, sf_dir)
+    rows = corpus.select("id", F.col("vec").cast("array<float>"))
+    dots = S.all_scores(rows, asked, DIM, lambda q: q, lambda q, b, pairs=None: S.product(q, M.matrix(b.column(1), DIM), pairs))
+    return dots.select("qid", "id", V.round6(F.col("score")).alias("dot"))
 
 
 @query(f"WITH {Q.BASE} SELECT id, sqrt(list_dot_product(v, v)) AS norm FROM e")
@@ -207,9 +201,9 @@ def codebook(spark, sf_dir):
 @query("SELECT i::BIGINT AS i, j::BIGINT AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS dot FROM range(48) a(i), range(48) b(j)")
 def landmark_basis(spark, sf_dir):
     """Dot products of the basis' columns."""
-    cols = spark.createDataFrame([(j, [float(x) for x in c]) for j, c in enumerate(C.landmark_basis(DIM, Q.M).T)], "j bigint, v array<double>")
-    both = cols.select(F.col("j").alias("i"), F.col("v").alias("w")).join(F.broadcast(cols))
-    return both.select("i", "j", (F.round(V.vec_dot("w", "v"), 5) + F.lit(0.0)).alias("dot"))
+    cols = spark.createDataFrame([(j, [float(x) for x in c]) for j, c in enumerate(C.landmark_basis(DIM, Q.M).T)], "j bigint, vec array<double>")
+    dots = S.all_scores(cols, cols.withColumnRenamed("j", "qid"), DIM, lambda q: q, lambda q, b, pairs=None: S.product(q, M.matrix(b.column(1), DIM), pairs))
+    return dots.select(F.col("qid").alias("i"), F.col("id").alias("j"), (F.round("score", 5) + F.lit(0.0)).alias("dot"))
 
 
 @query(wrap(Q.constants(), "c AS (SELECT unnest(land) AS v, generate_subscripts(land, 1) - 1 AS j FROM k), s AS (SELECT j, v, list_max(list_transform(v, lambda x: abs(x))) / 7 AS scale FROM c)", select="SELECT j, d - 1 AS d, (sign(x / scale) * floor(abs(x / scale) + 0.5))::BIGINT AS code FROM (SELECT j, scale, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM s)"))
@@ -359,26 +353,48 @@ def topk_per_query(spark, sf_dir):
 @query(wrap(Q.BASE, Q.EXACT, select="SELECT qid, id, round(score, 6) + 0.0 AS score FROM exact_s"))
 def score_matrix(spark, sf_dir):
     corpus, asked = split(spark, sf_dir)
-    return S.exact_topk(corpus, asked, DIM, corpus.count()).select("qid", "id", V.round6(F.col("score")).alias("score"))
+    return S.exact_scores(corpus, asked, DIM).select("qid", "id", V.round6(F.col("score")).alias("score"))
 
 
-@query(wrap(Q.BASE, Q.EXACT, "o AS (SELECT qid, id, score + (qid % 3) AS score FROM exact_s)", select=f"{Q.OUT} ({Q.best('o')})"))
+@query(wrap(Q.BASE, Q.EXACT, "o AS (SELECT qid, id, score + (id % 2) * (qid % 3) * 0.1::DOUBLE AS score FROM exact_s)", select=f"{Q.OUT} ({Q.best('o')})"))
 def score_offset(spark, sf_dir):
-    return result(exact(spark, sf_dir).withColumn("score", F.col("score") + F.col("qid") % 3))
+    """Two buckets of the corpus, one with an offset for each query, merged."""
+    corpus, asked = split(spark, sf_dir)
+    plain = S.exact_topk(corpus.where("id % 2 = 0"), asked, DIM, K)
+    raised = S.exact_topk(corpus.where("id % 2 = 1"), asked.withColumn("offset", (F.col("qid") % 3) * F.lit(0.1)), DIM, K)
+    return result(S.rank(plain.union(raised).drop("rank"), K))
+
+
+def thirds(spark, sf_dir) -> DataFrame:
+    """A mask: each query with every third row."""
+    corpus, asked = split(spark, sf_dir)
+    return corpus.select("id").join(F.broadcast(asked.select("qid")), (F.col("qid") + F.col("id")) % 3 == 0).select("qid", "id")  # the 50 held-out queries
 
 
 @query(wrap(Q.BASE, Q.EXACT, "o AS (SELECT * FROM exact_s WHERE (qid + id) % 3 = 0)", select=f"{Q.OUT} ({Q.best('o')})"))
 def masked_search(spark, sf_dir):
     corpus, asked = split(spark, sf_dir)
-    scores = S.exact_topk(corpus, asked, DIM, corpus.count()).select("qid", "id", "score")
-    mask = scores.where((F.col("qid") + F.col("id")) % 3 == 0).select("qid", "id")
-    return result(S.masked(scores, mask, K))
+    return result(S.exact_topk(corpus, asked, DIM, K, mask=thirds(spark, sf_dir)))
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.encoded(), Q.asked(), Q.scored(), "o AS (SELECT * FROM scores WHERE (qid + id) % 3 = 0)", select=f"{Q.OUT} ({Q.best('o')})"))
+def masked_rerank(spark, sf_dir):
+    """The quantised scores over a mask."""
+    return result(found(spark, sf_dir, mask=thirds(spark, sf_dir)))
+
+
+@query(wrap(Q.BASE, Q.constants(), Q.encoded(), Q.asked(), Q.scored(), "o AS (SELECT qid, id, score + (qid % 3) * 0.25::DOUBLE AS score FROM scores WHERE qid % 2 = 0 AND (qid + id) % 3 = 0)", select=f"{Q.OUT} ({Q.best('o')})"))
+def score_prepared(spark, sf_dir):
+    """Query subset, offset, mask and residual in one scan of an index."""
+    corpus, asked = split(spark, sf_dir)
+    some = asked.where("qid % 2 = 0").withColumn("offset", (F.col("qid") % 3) * F.lit(0.25))
+    return result(S.landmark_search(M.build(corpus, MODEL), some, MODEL, K, mask=thirds(spark, sf_dir)))
 
 
 @query(wrap(Q.BASE, Q.EXACT, select="SELECT qid, count(*) AS n FROM exact_s WHERE score >= 0.2 GROUP BY qid"))
 def threshold_count(spark, sf_dir):
     corpus, asked = split(spark, sf_dir)
-    return S.exact_topk(corpus, asked, DIM, corpus.count()).where("score >= 0.2").groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    return S.exact_count(corpus, asked, DIM, 0.2)
 
 
 @query(wrap(Q.BASE, Q.EXACT, f"a AS ({Q.best('(SELECT * FROM exact_s WHERE id % 2 = 0)')}), b AS ({Q.best('(SELECT qid, id, score + 0.1 AS score FROM exact_s WHERE id % 3 = 0)')}), u AS (SELECT qid, id, max(score) AS score FROM (SELECT qid, id, score FROM a UNION ALL SELECT qid, id, score FROM b) GROUP BY qid, id)", select=f"{Q.OUT} ({Q.best('u')})"))
@@ -432,10 +448,29 @@ def sign_scan(spark, sf_dir):
     return result(S.sign_search(M.build(corpus, MODEL), asked, MODEL, K))
 
 
-@query(wrap(Q.BASE, Q.constants(), Q.encoded(), Q.asked(), SIGN, f"short AS ({Q.best('signs', 100)})", Q.scored(), "kept AS (SELECT scores.* FROM scores JOIN short USING (qid, id))", select=f"{Q.OUT} ({Q.best('kept')})"))
+@query(wrap(Q.BASE, Q.constants(), Q.encoded(), Q.asked(), Q.scored("idx.alpha * list_dot_product(q.land, list_transform(idx.codes, lambda c: (2 * (c // 8) - 1)::DOUBLE))", "signs"), select=f"{Q.OUT} ({Q.best('signs')})"))
+def sign_alpha_scan(spark, sf_dir):
+    corpus, asked = split(spark, sf_dir)
+    return result(S.sign_search(M.build(corpus, MODEL), asked, MODEL, K, sign_alpha=True))
+
+
+STAGED = wrap(Q.BASE, Q.constants(), Q.encoded(), Q.asked(), SIGN, f"short AS ({Q.best('signs', S.shortlist_size(K, BITS))})", Q.scored(), "kept AS (SELECT scores.* FROM scores JOIN short USING (qid, id))", select=f"{Q.OUT} ({Q.best('kept')})")
+
+
+@query(STAGED)
 def staged_search(spark, sf_dir):
+    """Both stages read the saved index, so vectors are encoded once."""
     corpus, asked = split(spark, sf_dir)
-    return result(S.staged_search(M.build(corpus, MODEL), asked, MODEL, K, shortlist=100, staged=True))
+    path = f"{scratch(spark)}/index-{uuid.uuid4().hex}"
+    M.save(M.build(corpus, MODEL), MODEL, path)
+    return result(S.staged_search(M.load(spark, path)[0], asked, MODEL, K, staged=True))
+
+
+@query(_SQL["landmark_search"])
+def staged_auto(spark, sf_dir):
+    """With so few rows the full scan is taken."""
+    corpus, asked = split(spark, sf_dir)
+    return result(S.staged_search(M.build(corpus, MODEL), asked, MODEL, K))
 
 
 def _rescored(n: int) -> str:
@@ -454,8 +489,55 @@ def wide_rescore(spark, sf_dir):
     return result(S.float_rescore(found(spark, sf_dir, 100), corpus, asked, DIM, K))
 
 
-@query()
+ROUND = "sign({x}) * floor(abs({x}) + 0.5)"
+PLACES = f"range(1, {C.scan_dim(Q.M)} + 1)"
+LUT = wrap(
+    Q.BASE, Q.constants(), Q.encoded(), Q.asked(),
+    f"t AS (SELECT qid, perp, list_transform(q.land, lambda x: list_transform(c_lm, lambda c: x * c)) AS t FROM q, k)",
+    "lo AS (SELECT qid, perp, t, list_transform(t, lambda r: list_min(r)) AS least, list_max(list_transform(t, lambda r: list_max(r) - list_min(r))) / 127 AS span FROM t)",
+    f"lut AS (SELECT qid, perp, span AS scale, list_sum(least) AS bias, list_transform({PLACES}, lambda j: list_transform(t[j], lambda v: floor((v - least[j]) / span + 0.5))) AS lut FROM lo)",
+    f"scores AS (SELECT qid, id, idx.alpha * (scale * list_sum(list_transform({PLACES}, lambda j: lut[j][codes[j] + 1])) + bias) + perp * resid AS score FROM lut, idx)",
+    select=f"{Q.OUT} ({Q.best('scores')})",
+)
+
+
+@query(LUT)
 def lut_score(spark, sf_dir):
+    """Landmark search by the queries' lookup tables of 0 to 127."""
+    return result(found(spark, sf_dir, mode="lut"))
+
+
+INT8 = wrap(
+    Q.BASE, Q.constants(), Q.encoded(), Q.asked(),
+    "u AS (SELECT list_max(list_transform(c_lm, lambda c: abs(c))) / 127 AS unit FROM k)",
+    f"lv AS (SELECT unit, list_transform(c_lm, lambda c: {ROUND.format(x='(c / unit)')}) AS levels FROM k, u)",
+    "qs AS (SELECT qid, perp, land, list_max(list_transform(land, lambda x: abs(x))) / 127 AS s FROM q)",
+    f"qi AS (SELECT qid, perp, s, list_transform(land, lambda x: {ROUND.format(x='(x / s)')}) AS w FROM qs)",
+    "scores AS (SELECT qid, id, idx.alpha * list_dot_product(w, list_transform(codes, lambda c: levels[c + 1])) * s * unit + perp * resid AS score FROM qi, idx, lv)",
+    select=f"{Q.OUT} ({Q.best('scores')})",
+)
+
+
+@query(INT8)
+def int8_score(spark, sf_dir):
+    """Landmark search with int8 queries times int8 levels."""
+    return result(found(spark, sf_dir, mode="int8"))
+
+
+def _q4() -> str:
+    codes, scales = C.basis_q4(DIM, Q.M)
+    return wrap(
+        Q.BASE, Q.constants(), Q.encoded(), f"b4 AS (SELECT {Q.rows(codes.T)} AS basis, {Q.numbers(scales)} AS scales)", Q.rotated("q_r", "queries", "qid"),
+        "q_t AS (SELECT qid, y, list_max(list_transform(y, lambda x: abs(x))) / 127 AS top FROM q_r)",
+        f"q_z AS (SELECT qid, y, top, list_transform(y, lambda x: {ROUND.format(x='(x / top)')}) AS z FROM q_t)",
+        f"q_l AS (SELECT qid, y, list_transform({PLACES}, lambda j: list_dot_product(basis[j], z) * top * scales[j]) AS land FROM q_z, b4)",
+        "q AS (SELECT qid, land, sqrt(greatest(0.0, list_dot_product(y, y) - list_dot_product(land, land))) AS perp FROM q_l)",
+        Q.scored(), select=f"{Q.OUT} ({Q.best('scores')})",
+    )
+
+
+@query(_q4())
+def query_q4(spark, sf_dir):
     """Landmark search with int8 queries on the 4-bit basis."""
     return result(found(spark, sf_dir, mode="q4"))
 
@@ -557,23 +639,71 @@ def pareto_front(spark, sf_dir):
     return metrics.pareto_front(p, "x", "y")
 
 
-@query()
+def _coverage(m: int, n: int) -> str:
+    """Mean share of the true ten among the n first found with m landmarks, and how often the nearest is."""
+    return wrap(Q.BASE, Q.constants(m), Q.encoded(m), Q.asked(m), Q.scored(), Q.EXACT, f"f AS ({Q.best('scores', n)}), x AS ({Q.best('exact_s')}), h AS (SELECT x.qid, x.rank, CASE WHEN f.id IS NULL THEN 0 ELSE 1 END AS hit FROM x LEFT JOIN f USING (qid, id))", select=f"SELECT {m}::BIGINT AS landmarks, {n}::BIGINT AS shortlist, avg(part) AS coverage, avg(first) AS nn_found FROM (SELECT qid, avg(hit) AS part, max(CASE WHEN rank = 1 THEN hit ELSE 0 END) AS first FROM h GROUP BY qid)")
+
+
+STEPS, GOAL = tuple(range(8, DIM + 1, 8)), 0.5
+
+
+@query(f"WITH c AS ({' UNION ALL '.join(f'({_coverage(m, 64)})' for m in STEPS)}) SELECT landmarks, round(coverage, 6) + 0.0 AS coverage FROM c WHERE coverage >= {GOAL} ORDER BY landmarks LIMIT 1")
 def tune(spark, sf_dir):
     """Fewest landmarks (in steps of 8) at which half of the true ten are in the first 64 found."""
-    truth = exact(spark, sf_dir).cache()
+    truth = datasets.cached(spark, scratch(spark), cache_key(spark, sf_dir), lambda: exact(spark, sf_dir))
 
     def run(m: int) -> float:
         return metrics.coverage(found(spark, sf_dir, 64, M.Model(DIM, BITS, m)), truth, K).first()["coverage"]
 
-    best, seen = metrics.tune(run, list(range(8, DIM + 1, 8)), 0.5)
-    truth.unpersist()
-    return spark.createDataFrame([(m, r, m == best) for m, r in seen], "landmarks bigint, coverage double, chosen boolean")
+    best, seen = metrics.tune(run, list(STEPS), GOAL)
+    return spark.createDataFrame([(m, round(r, 6)) for m, r in dict(seen).items() if m == best], "landmarks bigint, coverage double")
+
+
+GRID = tuple((m, n) for m in (16, 32, 48) for n in (16, 64, 256))
+
+
+def sweep(spark, sf_dir) -> DataFrame:
+    """Coverage after the landmark stage for numbers of landmarks and lengths of its shortlist."""
+    truth = datasets.cached(spark, scratch(spark), cache_key(spark, sf_dir), lambda: exact(spark, sf_dir))
+    out = None
+    for m in sorted({m for m, _ in GRID}):
+        most = max(n for x, n in GRID if x == m)
+        short = found(spark, sf_dir, most, M.Model(DIM, BITS, m))
+        for n in (n for x, n in GRID if x == m):
+            part = metrics.coverage(short.where(F.col("rank") <= n), truth, K).select(F.lit(m).cast("bigint").alias("landmarks"), F.lit(n).cast("bigint").alias("shortlist"), "coverage", "nn_found")
+            out = part if out is None else out.union(part)
+    return out
+
+
+SWEEP = " UNION ALL ".join(f"({_coverage(m, n)})" for m, n in GRID)
+
+
+@query(f"SELECT landmarks, shortlist, round(coverage, 6) + 0.0 AS coverage, round(nn_found, 6) + 0.0 AS nn_found FROM ({SWEEP})")
+def landmark_sweep(spark, sf_dir):
+    return sweep(spark, sf_dir).select("landmarks", "shortlist", V.round6(F.col("coverage")).alias("coverage"), V.round6(F.col("nn_found")).alias("nn_found"))
 
 
-@query()
+@query(f"SELECT landmarks, shortlist, landmarks * shortlist AS product FROM ({SWEEP}) WHERE coverage >= 0.6 ORDER BY product, landmarks LIMIT 1")
+def sweep_pick(spark, sf_dir):
+    """Of the settings that find six of ten the one with the smallest product of landmarks and shortlist."""
+    good = sweep(spark, sf_dir).where("coverage >= 0.6").select("landmarks", "shortlist")
+    return metrics.least_product(good, "landmarks", "shortlist").withColumn("product", F.col("landmarks") * F.col("shortlist"))
+
+
+def _lloyd(bits: int = BITS, rounds: int = 25) -> str:
+    n = 2**bits
+    steps = ["coords AS MATERIALIZED (SELECT unnest(y) AS x FROM r)", f"l0 AS MATERIALIZED (SELECT quantile_cont(x, {Q.numbers(np.linspace(0.001, 0.999, n))}) AS q FROM coords)"]
+    for k in range(rounds):
+        cells = f"SELECT len(list_filter(edges, lambda e: x > e)) AS c, avg(x) AS m FROM coords, (SELECT list_transform(range(1, {n}), lambda i: (q[i] + q[i + 1]) / 2) AS edges FROM l{k}) GROUP BY 1"
+        steps.append(f"l{k + 1} AS MATERIALIZED (SELECT list(coalesce(m, old) ORDER BY c) AS q FROM (SELECT c, q[c + 1] AS old FROM l{k}, range({n}) g(c)) LEFT JOIN ({cells}) USING (c))")
+    return wrap(Q.BASE, Q.constants(), Q.rotated("r", "corpus", "id"), *steps, select=f"SELECT level - 1 AS level, round(centroid, 6) + 0.0 AS centroid FROM (SELECT unnest(q) AS centroid, generate_subscripts(q, 1) AS level FROM l{rounds})")
+
+
+@query(_lloyd())
 def empirical_codebook(spark, sf_dir):
     x = calibration.coordinates(split(spark, sf_dir)[0], DIM)
-    return spark.createDataFrame(list(enumerate(calibration.empirical_codebook(x, "x", BITS))), "level bigint, centroid double")
+    levels = calibration.empirical_codebook(x, "x", BITS)
+    return spark.createDataFrame([(k, round(v, 6) + 0.0) for k, v in enumerate(levels)], "level bigint, centroid double")
 
 
 def scratch(spark) -> str:
@@ -581,25 +711,37 @@ def scratch(spark) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return (named or f"file://{tempfile.gettempdir()}").rstrip("/") + "/quiverlake-cache"
+    if named:
+        return named.rstrip("/") + "/quiverlake-cache"
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = f"file://{tempfile.mkdtemp(prefix='quiverlake-')}"
+    return _LOCAL[app]
+
+
+def cache_key(spark, sf_dir) -> dict:
+    return {"source": sf_dir, "queries": NQ, "k": K, "metric": "cosine", **datasets.fingerprint(vectors(spark, sf_dir))}
 
 
 @query(_SQL["exact_topk"])
 def exact_topk_cache(spark, sf_dir):
-    key = {"source": sf_dir, "queries": NQ, "k": K, "metric": "cosine"}
-    return result(datasets.cached(spark, scratch(spark), key, lambda: exact(spark, sf_dir)))
+    return result(datasets.cached(spark, scratch(spark), cache_key(spark, sf_dir), lambda: exact(spark, sf_dir)))
 
 
 @query(f"WITH {Q.BASE} SELECT id, len(v) AS dim, round(v[1], 6) + 0.0 AS first FROM corpus")
 def scan_npy(spark, sf_dir):
-    """The corpus written as an NPY file and read again by row ranges; the file must be on a shared mount."""
-    path = os.path.join(scratch(spark).removeprefix("file://").removeprefix("file:"), f"{zlib.crc32(sf_dir.encode())}.npy")
+    """The corpus written as an NPY file and read again by row ranges; the shared folder must be a mount."""
+    folder = scratch(spark)
+    if "://" in folder and not folder.startswith("file://"):
+        raise ValueError("an NPY file is written to a shared mount, not to a store")
+    path = os.path.join(folder.removeprefix("file://").removeprefix("file:"), f"{uuid.uuid4().hex}.npy")
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    npy.write_npy(split(spark, sf_dir)[0], path)
+    npy.write_npy(split(spark, sf_dir)[0], path, part_bytes=64 << 10)
     return npy.read_npy(spark, path, 200).select("id", F.size("vec").cast("bigint").alias("dim"), V.round6(F.col("vec")[0].cast("double")).alias("first"))
 
 
-@query("SELECT o_orderpriority AS config, count(*) AS runs, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority AS config, count(o_totalprice) AS runs, round(avg(o_totalprice), 4) AS mean, round(list_sort(list(o_totalprice))[count(o_totalprice) // 2 + 1], 4) AS median, round(stddev_samp(o_totalprice), 4) AS std FROM orders GROUP BY 1")
 def bench_summary(spark, sf_dir):
-    """Mean and sample deviation per configuration, here of order totals by priority."""
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_orderpriority").alias("config")).agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.stddev_samp("o_totalprice"), 4).alias("std"))
+    """Mean, upper median and sample deviation per configuration, here of order totals by priority."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("config"), "o_totalprice")
+    return metrics.summary(orders, ["config"], "o_totalprice")

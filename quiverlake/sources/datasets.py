@@ -46,6 +46,19 @@ def read_hdf5(spark: SparkSession, path: str, split: str, step: int = 1024) -> D
     return spark.range(0, rows, step).mapInArrow(run, "id bigint, vec array<float>")
 
 
+def open_dataset(spark: SparkSession, name: str, data_dir: str, split: str = "train", query_limit: int = 1000, limit: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(corpus, queries) of a named dataset: its test split where it has one, else the last rows held out."""
+    from quiverlake.sources import npy
+
+    path, kind = resolve(name, data_dir, split)
+    if kind == "npy":
+        return holdout(npy.read_npy(spark, path), query_limit, limit)
+    corpus = read_hdf5(spark, path, split)
+    corpus = corpus.where(F.col("id") < limit) if limit else corpus
+    asked = read_hdf5(spark, path, "test").withColumnRenamed("id", "qid")
+    return corpus, asked.where(F.col("qid") < query_limit) if query_limit else asked
+
+
 def read_vectors(spark: SparkSession, path: str, id_col: str, vec_col: str) -> DataFrame:
     """id, vec of a Parquet table with a list column; only these two columns are read."""
     return spark.read.parquet(path).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
@@ -88,8 +101,15 @@ def holdout(df: DataFrame, query_limit: int, limit: int = 0) -> tuple[DataFrame,
     return rows.where(F.col("id") < edge), as_queries.where(F.col("qid") >= edge)
 
 
+def fingerprint(df: DataFrame) -> dict:
+    """Rows of df and a hash of all their values that no order of rows changes."""
+    h = F.xxhash64(*df.columns)
+    n, x, total = df.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first()
+    return {"rows": n, "hash": f"{x}/{total}"}
+
+
 def cached(spark: SparkSession, root: str, key: dict, make) -> DataFrame:
-    """The result of make() as Parquet under a key; read again while all of the key is the same."""
+    """The result of make() as Parquet under a key; read again while all of the key is the same. The key should hold the fingerprints of what make() reads."""
     text = repr(sorted(key.items()))
     path = f"{root}/key={hashlib.sha256(text.encode()).hexdigest()[:16]}"
     try:

@@ -75,17 +75,45 @@ def read_npy(spark, path: str, rows_per_partition: int = 100_000):
     return spark.read.format("npy").option("rows_per_partition", rows_per_partition).load(path)
 
 
-def write_npy(df, path: str, id_col: str = "id", vec_col: str = "vec") -> None:
-    """One NPY file for exchange with other tools, rows by id; they pass the driver one after another."""
-    rows = df.select(id_col, vec_col).orderBy(id_col)
-    n, cols = df.count(), None
+def write_npy(df, path: str, id_col: str = "id", vec_col: str = "vec", part_bytes: int = 64 << 20) -> None:
+    """One NPY file for exchange with other tools, rows by id. `path` must be on a mount that driver and tasks share.
+
+    Ranges of ids of about `part_bytes` each are written by tasks, every one at its own place in the file; a task that
+    runs again writes the same bytes. Null and ragged vectors are errors.
+    """
+    if "://" in path:
+        raise ValueError("an NPY file is written to a shared mount, not to a store")
+    from pyspark.sql import functions as F
+
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
+    n, least, most = rows.agg(F.count(F.lit(1)), F.min(F.coalesce(F.size("vec"), F.lit(-1))), F.max(F.size("vec"))).first()
+    if n and (least != most or least < 0):
+        raise ValueError("null or ragged vectors")
+    cols = most or 0
     with open(path, "wb") as f:
-        for _, v in rows.toLocalIterator():
-            if cols is None:
-                cols = len(v)
-                np.lib.format.write_array_header_1_0(f, {"descr": "<f4", "fortran_order": False, "shape": (n, cols)})
-            if len(v) != cols:
-                raise ValueError("ragged vectors")
-            f.write(np.asarray(v, "<f4").tobytes())
-        if cols is None:
-            np.lib.format.write_array_header_1_0(f, {"descr": "<f4", "fortran_order": False, "shape": (0, 0)})
+        np.lib.format.write_array_header_1_0(f, {"descr": "<f4", "fortran_order": False, "shape": (n, cols)})
+        start = f.tell()
+        f.truncate(start + 4 * n * cols)
+    if not n or not cols:
+        return
+    parts = max(1, -(-4 * n * cols // part_bytes))
+    edges = np.unique(rows.approxQuantile("id", [k / parts for k in range(1, parts)], 0.1 / parts)) if parts > 1 else np.zeros(0)
+
+    def deal(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, b.column(0).to_numpy(), "right").astype(np.int32)), *b.columns], ["part", "id", "vec"])
+
+    dealt = rows.mapInArrow(deal, "part int, id bigint, vec array<float>")
+    sizes = dict(dealt.groupBy("part").count().collect())  # as many rows as parts
+    first = np.cumsum([0] + [sizes.get(k, 0) for k in range(len(edges) + 1)])
+
+    def put(key, t):
+        order = np.argsort(t["id"].to_numpy(), kind="stable")
+        flat = t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(-1, cols)[order]
+        with open(path, "r+b") as f:
+            f.seek(start + 4 * cols * int(first[key[0].as_py()]))
+            f.write(flat.tobytes())
+        return pa.table({"n": pa.array([len(flat)], pa.int64())})
+
+    if dealt.groupBy("part").applyInArrow(put, "n bigint").agg(F.sum("n")).first()[0] != n:
+        raise ValueError("the rows changed while they were written")

@@ -7,7 +7,7 @@ from quiverlake.plans import registry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["scan_embeddings", "l2_norm", "exact_topk", "landmark_search", "staged_search", "recall_curve", "calibration_fit", "build_index"])
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_as_sql(spark, name):
     con = duckdb.connect()
     for t in ("embeddings", "orders", "part"):
