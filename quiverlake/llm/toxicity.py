@@ -20,10 +20,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quiverlake.llm.common import materialise
+
 #: Training rows at most (a documented bound): those of the smallest hash of their id; what they are does not depend on the order of rows.
 TRAIN_ROWS = 3000
+#: Characters of all of them together at most (a documented bound): texts of more than a fiftieth of it are no training rows, and neither are those by which it is exceeded, in order of the hash.
+TRAIN_CHARS = 50_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -47,8 +52,8 @@ class Crf:
     def __post_init__(self) -> None:
         self.heads = {f[2:][:4] for f in self.weights}
         step = np.exp(self.trans) * np.array([1.0, math.exp(self.bias)])
-        self.powers = [np.eye(2)]
-        for _ in range(256):
+        self.powers, self.doubled = [np.eye(2)], [step / step.sum()]
+        for _ in range(255):
             m = self.powers[-1] @ step
             self.powers.append(m / m.sum())
 
@@ -56,7 +61,19 @@ class Crf:
         return self.bias + sum(self.weights.get(f, 0.0) for f in features(word))
 
     def _neutral(self, n: int) -> np.ndarray:
-        return self.powers[min(n, 256)]  # a two-state chain has long forgotten by then
+        """Product of n neutral steps, up to a factor; those beyond the table by repeated squaring."""
+        if n < len(self.powers):
+            return self.powers[n]
+        out, k = np.eye(2), 0
+        while n >> k:
+            if k == len(self.doubled):
+                m = self.doubled[-1] @ self.doubled[-1]
+                self.doubled.append(m / m.sum())
+            if n >> k & 1:
+                out = out @ self.doubled[k]
+                out /= out.sum()
+            k += 1
+        return out
 
     def marginals(self, words: list[str]) -> list[tuple[int, float]]:
         """(token, probability of being toxic) for every token that is not neutral."""
@@ -155,7 +172,10 @@ def label_tokens(docs: list[tuple[list[str], int]], least: int = 3, purity: floa
 
 
 def fit(docs: list[tuple[list[str], int]], span: int = 12, rounds: int = 90, l2: float = 1e-5, seed: int = 5) -> Crf:
-    """Fits the field on windows of `span` tokens: around the toxic tokens (20 a document at most) and one at a random place of each document."""
+    """Fits the field on windows of `span` tokens: around all tokens that have a mark, and one at a random place of each document.
+
+    A token that lies in the window of the one before it needs none of its own, so a document has no more windows than words.
+    """
     marks = label_tokens(docs)
     is_toxic: dict[str, bool] = {}
     names: dict[str, int] = {}
@@ -171,9 +191,12 @@ def fit(docs: list[tuple[list[str], int]], span: int = 12, rounds: int = 90, l2:
     for words, label in docs:
         y = [int(label and toxic(w)) for w in words]
         near = [k for k, v in enumerate(y) if v or (not label and toxic(words[k]))]
-        for k in near[:20]:
-            lo = max(0, min(k - int(rng.integers(0, span)), len(words) - span))
-            windows.append((words[lo : lo + span], y[lo : lo + span]))
+        upto = 0
+        for k in near:
+            if k >= upto:
+                lo = max(0, min(k - int(rng.integers(0, span)), len(words) - span))
+                windows.append((words[lo : lo + span], y[lo : lo + span]))
+                upto = lo + span
         for _ in range(1 if words else 0):
             lo = int(rng.integers(0, max(1, len(words) - span + 1)))
             clean.append((words[lo : lo + span], y[lo : lo + span]))
@@ -234,12 +257,20 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Crf:
-    """Fits on at most `rows` labelled documents that are not held out. Labels of null and ids without a document are left out; of repeated labels of an id the toxic one counts."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Crf:
+    """Fits on at most `rows` labelled documents that are not held out, of at most `chars` characters together.
+
+    Labels of null and of ids without a document are left out; of repeated labels of an id the toxic one counts, of
+    several texts of an id the first in order. Only these rows' texts reach the driver.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").collect()
-    got.sort(key=lambda r: (r[0], r[2] or ""))
+    found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+    found = materialise(found.where(F.length("text") <= chars // 50), "toxicity-sample")
+    upto = F.sum(F.length("text")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over `rows` rows at most
+    fits = found.select("doc_id", upto.alias("upto")).where(F.col("upto") <= chars).select("doc_id")
+    got = found.join(F.broadcast(fits), "doc_id").select("doc_id", "toxic", "text").collect()
+    got.sort(key=lambda r: r[0])
     one: dict[str, str] = {}  # equal words share one string
     return fit([([one.setdefault(w, w) for w in tokens(r[2])], int(r[1] == 1)) for r in got])
 
