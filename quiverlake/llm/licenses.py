@@ -1,37 +1,27 @@
 """Licence scans with a generalised suffix automaton.
 
 The automaton holds every run of words of a set of licence notices. A text is streamed through it once, which
-gives for each word the longest run ending there that some notice contains (matching statistics). Maximal runs
-are chained, in order and with bounded gaps, into spans of one notice; a span's coverage is the share of the
-notice's words that its runs hold. Words outside the automaton's vocabulary reset it, so only stretches of known
-words are walked.
+gives for each word the longest run ending there that some notice contains (matching statistics). Notices that hold
+only an end of that run are met on the way up the suffix links, down to runs of `min_run` words; so each notice has
+all its maximal runs, whatever longer ones others have. They are chained, in order and with bounded gaps, into spans
+of one notice; a span's coverage is the share of the notice's words that its runs hold. Where spans of several labels
+overlap by half or more, the one that covers most words stays. Words outside the automaton's vocabulary reset it, so
+only stretches of known words are walked.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quiverlake.llm.notices import NOTICES
+
 #: Base phrases and their labels (fixed values).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices that licences ask for or that are in common use, by label.
-NOTICES = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
-    "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "lgpl": ["under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "unlicense": ["This is free and unencumbered software released into the public domain."],
-    "reserved": ["All rights reserved."],
-}
 #: Bytes outside 0-9, a-z and those of other alphabets separate words; A-Z are lower-cased.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -55,6 +45,13 @@ class SuffixAutomaton:
                 self.ends[last].add((k, at))
         for s in sorted(range(1, len(self.len)), key=self.len.__getitem__, reverse=True):
             self.ends[self.link[s]] |= self.ends[s]
+        self._fresh: dict[int, tuple[tuple[int, int], ...]] = {}
+
+    def fresh(self, s: int) -> tuple[tuple[int, int], ...]:
+        """Where the runs of the state that s links to occur without those of s."""
+        if s not in self._fresh:
+            self._fresh[s] = tuple(sorted(self.ends[self.link[s]] - self.ends[s]))
+        return self._fresh[s]
 
     def _state(self, length: int, nxt: dict[int, int], link: int) -> int:
         self.next.append(nxt)
@@ -115,21 +112,45 @@ class Scanner:
 
     def _runs(self, ids: np.ndarray, at: int, out: dict[int, list[tuple[int, int, int]]]) -> None:
         """Maximal runs of one stretch, by notice: (start in the text, words, start in the notice)."""
-        stats = self.auto.statistics(ids.tolist())
-        for k, (n, s) in enumerate(stats):
-            if n >= self.min_run and (k + 1 == len(stats) or stats[k + 1][0] <= n):
-                for notice, end in self.auto.ends[s]:
-                    out.setdefault(notice, []).append((at + k - n + 1, n, end - n + 1))
+        auto, words_ = self.auto, ids.tolist()
+        for k, (n, s) in enumerate(auto.statistics(words_)):
+            nxt = words_[k + 1] if k + 1 < len(words_) else 0
+            fresh = auto.ends[s]
+            while n >= self.min_run:
+                for notice, end in fresh:
+                    seq = self.seqs[notice]
+                    if end + 1 == len(seq) or seq[end + 1] != nxt:
+                        out.setdefault(notice, []).append((at + k - n + 1, n, end - n + 1))
+                # shorter ends of the run, and who holds them but not the longer ones
+                fresh, s = auto.fresh(s), auto.link[s]
+                n = auto.len[s]
 
     def _chain(self, notice: int, runs: list[tuple[int, int, int]]) -> list[tuple[float, int, int]]:
         """Best chains as (coverage, first word, last word); each run belongs to one span at most."""
-        runs = sorted(set(runs))
+        out: list[tuple[float, int, int]] = []
+        near: list[tuple[int, int, int]] = []
+        end = 0
+        for run in [*sorted(set(runs)), None]:
+            if near and (run is None or run[0] > end + self.gap):  # no chain goes over such a gap
+                while found := self._spans(notice, near):
+                    out += [s for s, _ in found]
+                    used = {r for _, path in found for r in path}
+                    near = [r for r in near if r not in used]
+                near = []
+            if run:
+                end = max(end, run[0] + run[1]) if near else run[0] + run[1]
+                near.append(run)
+        return out
+
+    def _spans(self, notice: int, runs: list[tuple[int, int, int]]) -> list[tuple[tuple[float, int, int], list]]:
+        """Disjoint chains of these runs that cover enough, each with its runs; the best chain is always among them."""
+        size = len(self.seqs[notice])
         best: list[tuple[int, int]] = []  # words covered by the best chain that ends with this run, and the run before
         for k, (t, n, p) in enumerate(runs):
             top = (n, -1)
             for j in range(k - 1, -1, -1):
                 tj, nj, pj = runs[j]
-                if t - tj > len(self.seqs[notice]) + self.gap + n:
+                if t - tj > size + self.gap + n:
                     break
                 over = max(0, tj + nj - t, pj + nj - p)
                 if pj < p and tj < t and t - (tj + nj) <= self.gap and over < n and best[j][0] + n - over > top[0]:
@@ -141,15 +162,33 @@ class Scanner:
             while j >= 0 and j not in used:
                 path.append(j)
                 j = best[j][1]
-            if not path or j >= 0:
+            # a chain that runs into another one counts with what it adds to that
+            covered = best[k][0] - (best[j][0] if j >= 0 and path else 0)
+            if path and covered >= self.least * size:
                 used.update(path)
-                continue
-            used.update(path)
-            share = best[k][0] / len(self.seqs[notice])
-            if share >= self.least:
-                spans.append((min(1.0, share), runs[path[-1]][0], runs[k][0] + runs[k][1] - 1))
+                spans.append(((min(1.0, covered / size), runs[path[-1]][0], runs[k][0] + runs[k][1] - 1), [runs[x] for x in path]))
         return spans
 
+    def _resolved(self, spans: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int]]:
+        """Spans (label, coverage, first, last, words covered) without those of which half or more lies in another label's that covers more."""
+        kept: list[tuple[str, float, int, int]] = []
+        longest = 0
+        by_first: list[tuple[int, int, str]] = []
+        for label, share, first, last, _ in sorted(spans, key=lambda s: (-s[4], -s[1], s[0], s[2], s[3])):
+            lo = bisect.bisect_left(by_first, (first - longest, -1, ""))
+            clash = False
+            for a, b, other in by_first[lo:]:
+                if a > last:
+                    break
+                if other != label and 2 * (min(b, last) - max(a, first) + 1) >= last - first + 1:
+                    clash = True
+                    break
+            if not clash:
+                kept.append((label, share, first, last))
+                bisect.insort(by_first, (first, last, label))
+                longest = max(longest, last - first + 1)
+        return sorted(kept, key=lambda s: (s[2], s[3], s[0]))
+
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[str, float, int, int]]]:
         """Number of words, places of base phrases, spans of notices as (label, coverage, first word, last word)."""
         w = words(text)
@@ -171,8 +210,8 @@ class Scanner:
         for a, b in zip(first, last, strict=True):
             if b - a + 1 >= self.min_run:
                 self._runs(ids[a : b + 1], int(a), runs)
-        spans = [(self.names[n], *s) for n, r in runs.items() for s in self._chain(n, r)]
-        return len(w), sorted(places), sorted(spans, key=lambda s: (s[2], s[3], s[0]))
+        spans = [(self.names[n], share, a, b, round(share * len(self.seqs[n]))) for n, r in runs.items() for share, a, b in self._chain(n, r)]
+        return len(w), sorted(places), self._resolved(spans)
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -205,7 +244,12 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def license_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """scan_licenses as one flat row per document: n_words, n_base, first_word, last_word, base_labels, labels, score (best coverage, 1 where a base phrase stands)."""
+    """scan_licenses as one flat row per document: n_words, n_base, first_word, last_word, base_labels, labels, n_spans, score (best coverage, 1 where a base phrase stands).
+
+    Null and empty texts have 0 words, no places (first_word and last_word null), empty labels and score 0. Repeated rows
+    each give a row, a null id stays null, an empty table gives none, other columns are not read. Labels are distinct and
+    in order of code points, so ties don't matter.
+    """
     return scan_licenses(df, id_col, text_col, **options).selectExpr(
         f"`{id_col}`",
         "n_words",
@@ -214,5 +258,6 @@ def license_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "array_max(base.word) AS last_word",
         "array_join(array_sort(array_distinct(base.label)), ',') AS base_labels",
         "array_join(array_sort(array_distinct(concat(base.label, spans.label))), ',') AS labels",
+        "CAST(size(spans) AS bigint) AS n_spans",
         "CASE WHEN size(base) > 0 THEN 1D ELSE coalesce(array_max(spans.coverage), 0D) END AS score",
     )
