@@ -18,8 +18,9 @@ def collapse(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", rol
 
     Turns stand in the order of their number (null first), then of role and text; rows that repeat within a conversation
     count once. Null roles and texts are turns like others and differ from empty ones, but render as empty. Rows without
-    an id belong to no conversation and are left out; a table without conversations gives none. Rendering: each turn as
-    `<|role|>`, a line break, its text and a line break.
+    an id belong to no conversation and are left out; a table without conversations gives none; other columns are not
+    read. Rendering: each turn as `<|role|>`, a line break, its text and a line break; in roles and texts `<|` becomes
+    `< |`, so that no text can pass for a turn.
     """
     turns = df.select(*(F.col(f"`{c}`").alias(n) for c, n in ((id_col, "c"), (turn_col, "t"), (role_col, "r"), (text_col, "x")))).where("c IS NOT NULL").distinct()
     w = W.partitionBy("c").orderBy(F.col("t").asc_nulls_first(), F.col("r").asc_nulls_first(), F.col("x").asc_nulls_first())
@@ -32,7 +33,8 @@ def collapse(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", rol
     wholes = whole.groupBy("n", "a", "b").agg(F.min("c").alias("c"), F.count(F.lit(1)).alias("n_copies"))
     longer = prefixes.alias("p").join(wholes.alias("w"), ["n", "a", "b"]).where("p.holders > w.n_copies").select("n", "a", "b")
     kept = wholes.join(longer, ["n", "a", "b"], "left_anti").select("c", "n_copies")
-    text = F.concat(F.lit("<|"), F.coalesce("r", F.lit("")), F.lit("|>\n"), F.coalesce("x", F.lit("")), F.lit("\n"))
+    plain = [F.replace(F.coalesce(c, F.lit("")), F.lit("<|"), F.lit("< |")) for c in "rx"]
+    text = F.concat(F.lit("<|"), plain[0], F.lit("|>\n"), plain[1], F.lit("\n"))
     rendered = (
         placed.select("c", "n", text.alias("s")).join(kept, "c").groupBy("c").agg(F.max("n").cast("long").alias("n_turns"), F.first("n_copies").alias("n_copies"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "s"))), lambda t: t["s"]), "").alias("rendered"))
     )
