@@ -33,7 +33,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
+    """spans: offending stretches as first character-end, comma-joined."""
+    found = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    places = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["first"].cast("string"), s["end"].cast("string"))), ",")
+    return found.withColumn("n_spans", F.size("spans").cast("long")).withColumn("spans", places)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +44,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +93,7 @@ whole AS (
   SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns, count(*) AS n_turns FROM turns GROUP BY conv_id),
 equal AS (SELECT min(conv_id) AS conv_id, count(*) AS n_copies, turns, n_turns FROM whole GROUP BY turns, n_turns),
 prefixes AS (SELECT DISTINCT turns[1:k] AS turns FROM equal, unnest(range(1, n_turns)) AS x(k))
-SELECT conv_id, n_turns, n_copies, list_aggregate(list_transform(turns, lambda x: '<|' || coalesce(x.r, '') || '|>' || chr(10) || coalesce(x.t, '') || chr(10)), 'string_agg', '') AS rendered
+SELECT conv_id, n_turns, n_copies, list_aggregate(list_transform(turns, lambda x: '<|' || replace(coalesce(x.r, ''), '<|', '< |') || '|>' || chr(10) || replace(coalesce(x.t, ''), '<|', '< |') || chr(10)), 'string_agg', '') AS rendered
 FROM equal e WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.turns = e.turns)
 """
 
