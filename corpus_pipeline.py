@@ -28,8 +28,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: doc_id, size, source_size, target, taken and copies of every document."""
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    """The mix: doc_id, size, source_size, target, taken, copies and rate of every document."""
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("decontamination", drop_leaks), ("mixing", mix_sources)]
