@@ -24,7 +24,7 @@ def flags() -> argparse.Namespace:
     p.add_argument("--queries", nargs="*", default=HEADLINE, help="registered queries to time")
     p.add_argument("--timing-runs", type=int, default=int(os.environ.get("BENCH_RUNS", "5")))
     p.add_argument("--warmup", type=int, default=int(os.environ.get("BENCH_WARMUP", "1")))
-    p.add_argument("--npy", help="corpus of --synthetic runs from an NPY file")
+    p.add_argument("--npy", help="an NPY file as corpus")
     p.add_argument("--synthetic", nargs=2, type=int, metavar=("ROWS", "DIM"), help="a seeded random corpus of this size")
     p.add_argument("--limit", type=int, default=0, help="rows of the corpus, 0: all")
     p.add_argument("--query-limit", type=int, default=1000)
@@ -36,6 +36,7 @@ def flags() -> argparse.Namespace:
     p.add_argument("--recall", action="store_true")
     p.add_argument("--float-rescore", action=argparse.BooleanOptionalAction, default=True)
     p.add_argument("--breakdown", action="store_true")
+    p.add_argument("--report", help="also write the result as key=value lines to this file")
     return p.parse_args()
 
 
@@ -133,7 +134,13 @@ def corpus_run(spark, o: argparse.Namespace) -> dict:
 def main() -> None:
     o = flags()
     spark = session(o)
-    print(json.dumps(corpus_run(spark, o) if o.npy or o.synthetic else registered(spark, o)))
+    result = corpus_run(spark, o) if o.npy or o.synthetic else registered(spark, o)
+    print(json.dumps(result))
+    if o.report:
+        from quiverlake.sources import reports
+
+        with open(o.report, "w", encoding="utf-8") as f:
+            f.write("\n".join(reports.lines(result)) + "\n")
     spark.stop()
 
 

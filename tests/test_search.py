@@ -283,6 +283,51 @@ class File(dict):
     sys.modules.pop("h5py", None)
 
 
+def test_prepare_checks_and_converts(spark, tmp_path):
+    from quiverlake.sources import prepare
+
+    x = data(40, 16, 3).astype(np.float32)
+    np.save(f"{tmp_path}/openai-1536.npy", x)
+    with pytest.raises(ValueError, match="shape"):
+        prepare.prepare(spark, "openai-1536", str(tmp_path))
+    with pytest.raises(ValueError, match="small"):
+        (tmp_path / "glove-200-angular.hdf5").write_bytes(b"x" * 50)
+        prepare.prepare(spark, "glove", str(tmp_path))
+    with pytest.raises(ValueError, match="no HDF5"):
+        prepare.prepare(spark, "glove", str(tmp_path), least=10)
+    column = prepare.COLUMN.format(dim=1536)
+    wide = [[float(i)] * 1536 for i in range(12)]
+    for k in range(3):
+        spark.createDataFrame([(v, "t") for v in wide[4 * k : 4 * k + 4]], f"`{column}` array<double>, text string").coalesce(1).write.parquet(f"{tmp_path}/part{k}")
+        (tmp_path / "shards" / "openai-1536").mkdir(parents=True, exist_ok=True)
+        next((tmp_path / f"part{k}").glob("*.parquet")).rename(tmp_path / "shards" / "openai-1536" / f"train-{k}.parquet")
+    got = prepare.prepare(spark, "openai-1536", str(tmp_path), rows=12)["train"].orderBy("id").collect()
+    assert [(r["id"], r["vec"][0], len(r["vec"])) for r in got] == [(i, float(i), 1536) for i in range(12)]
+    with pytest.raises(ValueError):
+        prepare.prepare(spark, "openai-1536", str(tmp_path), rows=13)
+
+
+def test_reports(spark, tmp_path):
+    from quiverlake.sources import reports
+
+    for k, ms in enumerate((4.0, 1.0, 2.0, 8.0)):
+        (tmp_path / f"run{k}.txt").write_text("\n".join(["# a run", *reports.lines({"dataset": "x", "ms": {"scan": ms}})]) + "\n")
+    rows = reports.read(spark, f"file://{tmp_path}")
+    assert rows.count() == 8 and {r["text"] for r in rows.where("key = 'dataset'").collect()} == {"x"}
+    assert [tuple(r) for r in metrics.summary(rows.where("value IS NOT NULL"), ["key"], "value").collect()] == [("ms.scan", 4, 3.75, 4.0, 3.0957)]
+
+
+def test_vector_columns(spark):
+    from quiverlake.functions import constants as C
+    from quiverlake.functions import vector as V
+
+    x = M.normalise(data(5, 8, 2))
+    bounds, _ = C.codebook(4, 8)
+    got = frame(spark, x).select("id", V.vec_codes("vec", bounds).alias("c"), V.vec_codes("vec", bounds, above=True).alias("a"), V.vec_rotate("vec", C.rotation_matrix(8)).alias("y")).orderBy("id").collect()
+    assert [r["c"] for r in got] == np.searchsorted(bounds, x, side="right").tolist() == [r["a"] for r in got]
+    assert np.allclose([r["y"] for r in got], C.rotate(x))
+
+
 def test_merge_keeps_better_score(spark):
     a = spark.createDataFrame([(0, 1, 4, 0.5), (0, 2, 5, 0.4)], "qid bigint, rank bigint, id bigint, score double")
     b = spark.createDataFrame([(0, 1, 5, 0.9), (0, 2, 6, float("nan"))], "qid bigint, rank bigint, id bigint, score double")
