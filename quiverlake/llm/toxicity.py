@@ -278,8 +278,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, spans (first character, end, probability).
 
-    Null and empty texts score 0. Repeated rows each give a row; a null doc_id stays null and is not held out. Without
-    labelled toxic rows every score is 0. Other columns are not read.
+    Null and empty texts score 0, and so do texts without a marked word, however long. Repeated rows each give a row; a
+    null doc_id stays null and is not held out. Without labelled toxic rows every score is 0. Equal texts have equal
+    scores; an empty table gives none. Other columns are not read.
     """
     model = train(docs, labels, train_rows)
 
@@ -299,7 +300,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs without those that score `threshold` or more, with all columns. No row moves: each is judged where it is."""
+    """docs without those that score `threshold` or more, with all columns. No row moves: each is judged where it is.
+
+    Documents with a null or empty text stay, and all do without labelled toxic rows. Ids don't matter: rows that repeat
+    are judged alike, null ids like others. An empty table stays empty.
+    """
     model, at = train(docs, labels, train_rows), docs.columns.index("text")
 
     def run(batches):
