@@ -35,7 +35,7 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 #: Characters of items in a part of the index; items of fewer words than SHORT.
 PART_CHARS, SHORT = 4_000_000, 5
 #: Share of the threshold that the terms of a passage whose postings are not walked can reach together.
-REST = 1.0
+REST = 0.5
 #: Block bounds that are computed at a time.
 _STEP = 2_000_000
 
