@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -200,7 +201,8 @@ class Page:
             if core[k]:
                 prose[self.parent[k]] += prose[k]
         saved: set[int] = set()
-        named = next(([k for k in range(1, n) if self.tags[k] == tag and self.marks[k] == PLAIN and core[k] and prose[k]] for tag in ("main", "article") if tag in self.tags), [])
+        named = ([k for k in range(1, n) if self.tags[k] == tag and self.marks[k] == PLAIN and core[k] and prose[k]] for tag in ("main", "article"))
+        named = next((found for found in named if found), [])
         if named:
             k = max(named, key=lambda x: (prose[x], -x))
             while k:
@@ -297,39 +299,44 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     broadcast only while all of them together have at most `broadcast_rows` rows, else joined, a site's pages being dealt out.
     """
     base = split_urls(pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html")), "url").withColumnRenamed("_q_host", "host")
-    base = base.withColumn("section", F.regexp_extract("_q_path", "^/([^/]+)/", 1)).drop("_q_path")
+    # a site is a host, or a section of one; 64-bit hashes stand for both
+    section = F.regexp_extract("_q_path", "^/([^/]+)/", 1)
+    whole = F.when(F.col("host") != "", F.xxhash64("host"))
+    part = F.when((F.col("host") != "") & (section != ""), F.xxhash64("host", section))
+    base = base.select("id", "url", "html", whole.alias("whole"), part.alias("part"))
 
     def hashes(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 64):
-                host, section, trees, out = [], [], [], []
-                for at, where, page in zip(*(b.slice(lo, 64).column(c) for c in range(3)), strict=True):
+                cut = b.slice(lo, 64)
+                sizes, trees, out = [], [], []
+                for page in cut.column(2):
                     got = Page(page.as_py() or "")
                     own = [None, *got.subtrees()]  # null stands for the page
-                    host += [at.as_py()] * len(own)
-                    section += [where.as_py()] * len(own)
+                    sizes.append(len(own))
                     trees += [got.hashes[0] or 0] * len(own)
                     out += own
-                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(section, pa.string()), pa.array(trees, pa.int64()), pa.array(out, pa.int64())], ["host", "section", "tree", "h"])
+                at = pa.array(np.repeat(np.arange(cut.num_rows), sizes))
+                yield pa.RecordBatch.from_arrays([cut.column(0).take(at), cut.column(1).take(at), pa.array(trees, pa.int64()), pa.array(out, pa.int64())], ["whole", "part", "tree", "h"])
 
-    # a page that counts in a section counts on its host too; the empty section stands for the host
-    found = base.where("host <> ''").select("host", "section", "html").mapInArrow(hashes, "host string, section string, tree bigint, h bigint")
-    found = found.withColumn("section", F.explode(F.when(F.col("section") == "", F.array(F.lit(""))).otherwise(F.array(F.lit(""), "section"))))
-    counts = found.groupBy("host", "section", "h").agg(F.countDistinct("tree").alias("n")).where(F.col("n") >= min_pages)
+    # a page that counts in a section counts on its host too
+    found = base.where("whole IS NOT NULL").select("whole", "part", "html").mapInArrow(hashes, "whole bigint, part bigint, tree bigint, h bigint")
+    found = found.select(F.explode(F.when(F.col("part").isNull(), F.array("whole")).otherwise(F.array("whole", "part"))).alias("site"), "h", "tree")
+    counts = found.groupBy("site", "h").agg(F.countDistinct("tree").alias("n")).where(F.col("n") >= min_pages)
     counts = materialise(counts, "html-counts")
-    sizes = counts.where("h IS NULL").select("host", "section", F.col("n").alias("pages"))
-    seen = counts.where("h IS NOT NULL").join(sizes, ["host", "section"]).where(F.col("n") >= F.col("pages") * min_share)
-    templates = materialise(seen.groupBy("host", "section").agg(F.collect_list("h").alias("hashes")), "html-templates")
+    sizes = counts.where("h IS NULL").select("site", F.col("n").alias("pages"))
+    seen = counts.where("h IS NOT NULL").join(sizes, "site").where(F.col("n") >= F.col("pages") * min_share)
+    templates = materialise(seen.groupBy("site").agg(F.collect_list("h").alias("hashes")), "html-templates")
     fits = small_enough(templates.select(F.explode("hashes")), broadcast_rows)
-    of_host = templates.where("section = ''").select("host", F.col("hashes").alias("on_host"))
-    of_section = templates.where("section <> ''").select("host", "section", F.col("hashes").alias("in_section"))
-    if fits:
-        joined = base.join(F.broadcast(of_host), "host", "left").join(F.broadcast(of_section), ["host", "section"], "left")
-    else:
-        salt = F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("salt")
-        joined = base.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
-        joined = joined.join(of_host.select("*", salt), ["host", "salt"], "left").join(of_section.select("*", salt), ["host", "section", "salt"], "left")
-    drop = F.array_union(F.coalesce("on_host", F.array().cast("array<bigint>")), F.coalesce("in_section", F.array().cast("array<bigint>")))
+    joined = base
+    for key in ("whole", "part"):
+        own = templates.select(F.col("site").alias(key), F.col("hashes").alias(f"of_{key}"))
+        if fits:
+            joined = joined.join(F.broadcast(own), key, "left")
+        else:
+            salted = own.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+            joined = joined.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"], "left").drop("salt")
+    drop = F.array_union(*(F.coalesce(f"of_{key}", F.array().cast("array<bigint>")) for key in ("whole", "part")))
     joined = joined.select("id", "url", "html", drop.alias("hashes"))
 
     def texts(batches):
