@@ -33,17 +33,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverlake.llm.common import materialise, small_enough
-from quiverlake.llm.components import connected
+from quiverlake.llm.common import discard, materialise, skew_join, small_enough
+from quiverlake.llm.components import connected, merged
 
 SHINGLE, TREES, LEVELS = 5, 12, 8
 HASHES = TREES * LEVELS
 #: Bits in each half of a set's sketch, and the largest set that is sketched whole; of larger ones a half, a quarter and so on of their shingles are.
-BITS, WHOLE = 384, 512
+BITS, WHOLE = 512, 512
 #: 64-bit numbers in a sketch: its two halves, and one with the scale and the sizes of the halves.
 SKETCH = 2 * BITS // 64 + 1
 #: Values of further orders, the chance at which a pair of 75 % may be missed before there are no more of them, and how many are made before it is measured again.
 LONG, MISS, ROUND = 16, 1e-4, 64
+#: Rows of other components on either side that a row is held against: in the first pass, in the second, and in further orders.
+REACH = (16, 256, 512)
 #: Rows of sorted orders that a task takes at once.
 PART_ROWS = 40_000
 #: Pairs at most (16 bytes each) that are broadcast to fetch their texts; more are joined by shuffle.
@@ -143,7 +145,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _ties(doc: np.ndarray, tree: int) -> np.ndarray:
     """32 bits for each row by which an order sorts rows of equal values, other ones in each order; as bytes."""
-    y = (doc.astype(np.uint64) + np.uint64(tree + 1) * _MIX[1]) * _MIX[0]
+    y = (doc.astype(np.uint64) + np.uint64((tree + 1) * int(_MIX[1]) & (1 << 64) - 1)) * _MIX[0]
     y = (y ^ (y >> np.uint64(29))) * _MIX[2]
     y = (y ^ (y >> np.uint64(32))) * _MIX[3]
     return (y >> np.uint64(32)).astype(">u4")[:, None].view(np.uint8)
@@ -195,9 +197,10 @@ def _likely(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.
     """Whether the sets of two rows of sketches may be linked, and their estimated similarity.
 
     Two shingles on one place cancel out, so differing places never outnumber differing shingles: sets sketched whole
-    that differ too much by them can't be linked, which is no estimate. Besides, similarities estimated four standard
-    deviations below the limit or more are taken to be below: 0.015 for sets sketched whole (WHOLE shingles; less
-    for fewer), 0.0225 for others of one scale, 0.0325 for scales one apart. Scales further apart are sizes too unlike.
+    that differ too much by them can't be linked, which is no estimate. Besides, similarities estimated 4.6 standard
+    deviations below the limit or more are taken to be below: 0.013 for sets sketched whole (WHOLE shingles; less
+    for fewer), 0.0195 for others of one scale, 0.028 for scales one apart. Scales further apart are sizes too unlike.
+    So a linked pair that is looked at is left aside with a chance of about 2e-6.
     """
     half = BITS // 64
     meta = x[:, -1], y[:, -1]
@@ -314,22 +317,27 @@ def _emit(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, est: np.nda
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(est), *(pa.nulls(len(i), x) for x in (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], _FOUND)
 
 
-def _depths(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, edge: int | None = None) -> pa.RecordBatch:
-    """Rows i whose windows end at rows j of their region, with the depth by which a partner must agree to be in them.
+def _depth(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For rows i whose windows end at rows j of their region, the depth by which a partner must agree to be in them.
 
     Of rows that tie on all values only some lie in a window: by the share of all ties that it spans, which then counts
-    as so many values more. edge: that of the partition at which they end.
+    as so many values more.
     """
     same = (rows["key"][i] == rows["key"][j]).reshape(len(i), rows["key"].shape[1] // 2, 2).all(axis=2)
-    agree, n = np.cumprod(same, axis=1).sum(axis=1), len(i)
+    agree = np.cumprod(same, axis=1).sum(axis=1)
     spanned = np.maximum(np.abs(rows["tie"][i] - rows["tie"][j]), 1) / 2**32
-    depth = np.where(agree == same.shape[1], agree + np.log(spanned) / np.log(0.75), agree + 1.0)
+    return np.where(agree == same.shape[1], agree + np.log(spanned) / np.log(0.75), agree + 1.0)
+
+
+def _depths(rows: dict[str, np.ndarray], i: np.ndarray, depth: np.ndarray, edge: int | None = None) -> pa.RecordBatch:
+    """Rows i and their depths. edge: that of the partition at which their windows end."""
+    n = len(i)
     null = {x: pa.nulls(n, x) for x in (pa.int64(), pa.binary())}
     return pa.RecordBatch.from_arrays([null[pa.int64()], null[pa.int64()] if edge is None else pa.array(np.full(n, edge, np.int64)), pa.array(depth), pa.array(np.full(n, DEPTHS, np.int64)), pa.array(rows["tree"][i].astype(np.int32)), null[pa.binary()], pa.array(rows["doc"][i]), null[pa.int64()], null[pa.binary()]], _FOUND)
 
 
-def candidates(classes: DataFrame, n_rows: int, start: int = 0, depth: int = 2, reach: int = 32, percent: int = 75, best: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Likely pairs (a, b, est), a < b, of classes whose components differ; and doc, tree and depth of rows in dense regions.
+def candidates(classes: DataFrame, n_rows: int, start: int = 0, depth: int = 2, reach: int = REACH[1], percent: int = 75, best: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Likely pairs (a, b, est), a < b, of classes whose components differ; doc, tree and depth of rows in dense regions; and the table that both are read from.
 
     classes: doc, sig and comp for the first trees; for further ones, from the one numbered start on, doc, text, comp
     and orders (how many of them). n_rows: rows of all orders together.
@@ -353,19 +361,24 @@ def candidates(classes: DataFrame, n_rows: int, start: int = 0, depth: int = 2,
         i, j, est, last, first = _pairs(rows, reach, percent)
         yield _emit(rows, i, j, est, best)
         if not best:
-            full, behind = np.flatnonzero(last < n), np.flatnonzero(first >= 0)
-            yield _depths(rows, full, last[full])
-            yield _depths(rows, behind, first[behind])
+            deep = np.full(n, -1.0)
+            for full, end in ((np.flatnonzero(last < n), last), (np.flatnonzero(first >= 0), first)):
+                deep[full] = np.maximum(deep[full], _depth(rows, full, end[full]))
+            some = np.flatnonzero(deep >= 0)
+            yield _depths(rows, some, deep[some])
         if part > 1:
-            yield from edge_rows(t.slice(0, reach), p - 1, 1)
-            yield from edge_rows(t.slice(max(0, n - reach)), p, 0)
+            # the rows of the region that an edge may cut, and one of another region, which tells that the region ends
+            region = rows["region"]
+            upto, start = int((region == region[0]).sum()), n - int((region == region[-1]).sum())
+            yield from edge_rows(t.slice(0, min(reach, upto + 1)), p - 1, 1)
+            yield from edge_rows(t.slice(max(0, n - reach, start - 1)), p, 0)
             if not best:
                 # windows that are open at the edge, of rows too far from it to meet those on its other side
                 at = np.arange(n)
-                ahead = np.flatnonzero((last == n) & (rows["region"] == rows["region"][-1]) & (at < n - reach))
-                yield _depths(rows, ahead, np.full(len(ahead), n - 1), p)
-                behind = np.flatnonzero((first < 0) & (rows["region"] == rows["region"][0]) & (at >= reach))
-                yield _depths(rows, behind, np.zeros(len(behind), int), p - 1)
+                ahead = np.flatnonzero((last == n) & (region == region[-1]) & (at < n - reach))
+                yield _depths(rows, ahead, _depth(rows, ahead, np.full(len(ahead), n - 1)), p)
+                behind = np.flatnonzero((first < 0) & (region == region[0]) & (at >= reach))
+                yield _depths(rows, behind, _depth(rows, behind, np.zeros(len(behind), int)), p - 1)
 
     def across(t: pa.Table) -> pa.Table:
         t = t.take(pa.compute.sort_indices(t, [("a", "ascending"), ("tree", "ascending"), ("key", "ascending"), ("doc", "ascending")]))
@@ -375,9 +388,9 @@ def candidates(classes: DataFrame, n_rows: int, start: int = 0, depth: int = 2,
         if not best:
             region, at = rows["region"], np.arange(n)
             full = np.flatnonzero((at < cross) & ((last < n) | (region == region[-1])))
-            out.append(_depths(rows, full, np.minimum(last[full], n - 1)))
+            out.append(_depths(rows, full, _depth(rows, full, np.minimum(last[full], n - 1))))
             full = np.flatnonzero((at >= cross) & ((first >= 0) | (region == region[0])))
-            out.append(_depths(rows, full, np.maximum(first[full], 0)))
+            out.append(_depths(rows, full, _depth(rows, full, np.maximum(first[full], 0))))
         return pa.Table.from_batches(out).select(["a", "b", "est", "tree", "doc"])
 
     found = materialise(ordered.mapInArrow(run, schema), "dedup-found")
@@ -389,7 +402,7 @@ def candidates(classes: DataFrame, n_rows: int, start: int = 0, depth: int = 2,
         over = found.where(F.col("edge").between(lo, hi - 1)).select("edge", "a", *_ORDERED).groupBy("edge").applyInArrow(across, "a bigint, b bigint, est double, tree int, doc bigint")
         pairs = pairs.union(over.where("a IS NOT NULL").select("a", "b", "est"))
         cut = cut.where(F.col("b").isNull() | F.col("b").between(lo, hi - 1)).select("doc", "tree", "est").union(over.where("a IS NULL").select("doc", "tree", "est"))
-    return pairs.groupBy("a", "b").agg(F.max("est").alias("est")), cut.groupBy("doc", "tree").agg(F.max("est").alias("depth"))
+    return pairs.groupBy("a", "b").agg(F.max("est").alias("est")), cut.groupBy("doc", "tree").agg(F.max("est").alias("depth")), found
 
 
 def _owed(chance: DataFrame, depths: DataFrame, plain: float = 0.75**2) -> DataFrame:
@@ -439,25 +452,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null and empty texts have no shingles and are linked with nothing. Rows with a null id stay, linked with nothing,
     without a component and kept. An id in several rows is one document with several texts: each row has its own
-    n_shingles, and the links of all hold for it. An empty table gives an empty result; other columns are not read.
+    n_shingles, and the links of all hold for it. Texts whose sets of shingles (64-bit hashes) have the same 128-bit hash
+    are taken to have the same set. Ties in similarity don't matter. An empty table gives an empty result; other columns
+    are not read.
     """
     sig = materialise(signatures(df, id_col, text_col), "dedup-signatures")
     texts = _text(df, id_col, text_col)
     usable = sig.where("doc IS NOT NULL AND k1 IS NOT NULL")
     classes = materialise(usable.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")).withColumn("comp", F.col("doc")), "dedup-classes")
-    n = classes.count()
+    n, n_docs = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
     # a document in several classes (an id in several rows) ties them
-    ties = usable.join(classes.select("k1", "k2", F.col("doc").alias("rep")), ["k1", "k2"]).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    repeated = usable.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc")
-    ties = ties.join(repeated, ties["b"] == repeated["doc"], "left_semi")
+    several = usable.groupBy("doc").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).where("x <> y").select("doc")
+    ties = usable.select("doc", "k1", "k2").join(several, "doc", "left_semi").distinct()
+    ties = ties.join(classes.select("k1", "k2", F.col("doc").alias("rep")), ["k1", "k2"]).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     one = classes.groupBy("doc").agg(F.min(F.struct("k1", "k2", "sig")).alias("s")).select("doc", "s.sig", F.col("doc").alias("comp"))
-    first = materialise(candidates(one, n * TREES, best=True, reach=16, percent=percent)[0], "dedup-first")
+    near, _, found = candidates(one, n * TREES, best=True, reach=REACH[0], percent=percent)
+    first = materialise(near, "dedup-first")
+    discard(found)
     # of what a class found in all trees, the likeliest partner on either side
     top = first.groupBy(F.col("a").alias("d")).agg(F.max_by("b", "est").alias("e")).select(F.col("d").alias("a"), F.col("e").alias("b"))
     top = top.union(first.groupBy(F.col("b").alias("d")).agg(F.max_by("a", "est").alias("e")).select(F.col("e").alias("a"), F.col("d").alias("b"))).distinct()
     tried = materialise(top, "dedup-pairs")
-    links = materialise(verified(tried, texts, percent).union(ties), "dedup-links")
-    comps = materialise(connected(links), "dedup-components")
+    discard(first)
+    comps = materialise(connected(verified(tried, texts, percent).union(ties)), "dedup-components")
 
     def labelled() -> DataFrame:
         return one.drop("comp").join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).select("doc", "sig", "comp")
@@ -466,11 +483,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chance = one.select("doc", F.lit(TREES * float(np.log1p(-(0.75**2)))).alias("chance"))
     total = n * TREES
     while True:
-        more, depths = candidates(rows, total, start, percent=percent)
+        more, depths, found = candidates(rows, total, start, reach=REACH[2 if start else 1], percent=percent)
         more = materialise(more.join(tried, ["a", "b"], "left_anti").select("a", "b"), "dedup-pairs")
-        links = materialise(links.union(verified(more, texts, percent)), "dedup-links")
-        comps = materialise(connected(links), "dedup-components")
         owed = materialise(_owed(chance, depths), "dedup-owed")
+        discard(found, rows)
+        links = materialise(verified(more, texts, percent), "dedup-links")
+        if links.limit(1).count():
+            comps = merged(comps, links)
         start += each
         total, each = owed.agg(F.coalesce(F.sum("orders"), F.lit(0)), F.coalesce(F.max("orders"), F.lit(0))).first()
         if not total:
@@ -481,12 +500,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows = materialise(texts.join(hint(materialise(dense, "dedup-owed")), "doc").select("doc", "text", "comp", "orders"), "dedup-dense")
         # the coming orders count as open until they turn out otherwise
         chance = owed.select("doc", (F.col("chance") + F.col("orders") * F.lit(float(np.log1p(-(0.75**2))))).alias("chance"))
-    known = classes.select("k1", "k2", "doc", "copies").join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")).where("copies > 1 OR component <> doc").select("k1", "k2", "component")
-    out = sig.select("doc", "n", "k1", "k2").join(known, ["k1", "k2"], "left").withColumn("component", F.coalesce("component", "doc"))
+    known = classes.select("k1", "k2", "doc", "copies").join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")).where("copies > 1 OR component <> doc").select("k1", "k2", "component", "copies")
+    # rows without shingles have no class and stay where they are; a class with many copies does, too
+    rows = sig.select("doc", "n", "k1", "k2")
+    out = skew_join(rows.where("k1 IS NOT NULL"), known, ["k1", "k2"], "copies", n_docs, "left")
+    out = out.unionByName(rows.where("k1 IS NULL"), allowMissingColumns=True).withColumn("component", F.coalesce("component", "doc"))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """df without the documents that are not kept; one document of each component stays, with all columns."""
+    """df without the documents that are not kept, with all columns.
+
+    One document of each component stays, that of the smallest id; an id in several rows is one document, all rows of
+    which stay or go. Rows without an id and texts without words (null ones too) are linked with nothing and stay. An
+    empty table stays empty.
+    """
     gone = near_duplicates(df, id_col, text_col, percent).where("NOT kept").select(F.col(id_col).alias("_q_gone")).distinct()
     return df.join(gone, df[id_col] == gone["_q_gone"], "left_anti")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quiverlake.llm.common import materialise, word_count
+from quiverlake.llm.common import discard, materialise, word_count
 
 
 def ranked(df: DataFrame, key: str) -> DataFrame:
@@ -81,8 +81,12 @@ def newton(counts: DataFrame, goals: DataFrame, most: float = 3.0, steps: int =
         F.when(grows, 0.0).otherwise(bottom).alias("lo"), F.when(grows, top).otherwise(0.0).alias("hi"),
         ((F.col("own") <= 0) | full).alias("done"), F.when(full, F.col("own") * most).otherwise(0.0).alias("g"),
     )
+    last = None
     for _ in range(steps):
         now = materialise(now, "mixing-dual")
+        if last is not None:
+            discard(last)
+        last = now
         if now.where("NOT done").limit(1).count() == 0:
             break
         q = rate(F.col("lam"), F.col("size"), F.col("unit"), most)
