@@ -22,7 +22,8 @@ def collapse(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", rol
     read. Rendering: each turn as `<|role|>`, a line break, its text and a line break; in roles and texts `<|` becomes
     `< |`, so that no text can pass for a turn.
     """
-    turns = df.select(*(F.col(f"`{c}`").alias(n) for c, n in ((id_col, "c"), (turn_col, "t"), (role_col, "r"), (text_col, "x")))).where("c IS NOT NULL").distinct()
+    turns = df.select(*(F.col(f"`{c}`").alias(n) for c, n in ((id_col, "c"), (turn_col, "t"), (role_col, "r"), (text_col, "x")))).where("c IS NOT NULL")
+    turns = turns.repartition("c").distinct()  # dealt by conversation once: all that follows on turns stays there
     w = W.partitionBy("c").orderBy(F.col("t").asc_nulls_first(), F.col("r").asc_nulls_first(), F.col("x").asc_nulls_first())
     placed = turns.withColumn("n", F.row_number().over(w))
     mark = [F.col("n"), F.col("r").isNull(), F.coalesce("r", F.lit("")), F.col("x").isNull(), F.coalesce("x", F.lit(""))]
