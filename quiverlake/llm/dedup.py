@@ -461,11 +461,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     usable = sig.where("doc IS NOT NULL AND k1 IS NOT NULL")
     classes = materialise(usable.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")).withColumn("comp", F.col("doc")), "dedup-classes")
     n, n_docs = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
-    # a document in several classes (an id in several rows) ties them
-    several = usable.groupBy("doc").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).where("x <> y").select("doc")
-    ties = usable.select("doc", "k1", "k2").join(several, "doc", "left_semi").distinct()
-    ties = ties.join(classes.select("k1", "k2", F.col("doc").alias("rep")), ["k1", "k2"]).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    one = classes.groupBy("doc").agg(F.min(F.struct("k1", "k2", "sig")).alias("s")).select("doc", "s.sig", F.col("doc").alias("comp"))
+    several = materialise(usable.groupBy("doc").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).where("x <> y").select("doc"), "dedup-several")
+    one, ties = classes.select("doc", "sig", "comp"), None
+    if several.limit(1).count():
+        # a document in several classes (an id in several rows) ties them, and may stand for more than one
+        ties = usable.select("doc", "k1", "k2").join(several, "doc", "left_semi").distinct()
+        ties = ties.join(classes.select("k1", "k2", F.col("doc").alias("rep")), ["k1", "k2"]).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+        one = materialise(classes.groupBy("doc").agg(F.min(F.struct("k1", "k2", "sig")).alias("s")).select("doc", "s.sig", F.col("doc").alias("comp")), "dedup-one")
     near, _, found = candidates(one, n * TREES, best=True, reach=REACH[0], percent=percent)
     first = materialise(near, "dedup-first")
     discard(found)
@@ -474,7 +476,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     top = top.union(first.groupBy(F.col("b").alias("d")).agg(F.max_by("a", "est").alias("e")).select(F.col("e").alias("a"), F.col("d").alias("b"))).distinct()
     tried = materialise(top, "dedup-pairs")
     discard(first)
-    comps = materialise(connected(verified(tried, texts, percent).union(ties)), "dedup-components")
+    links = verified(tried, texts, percent)
+    comps = materialise(connected(links if ties is None else links.union(ties)), "dedup-components")
 
     def labelled() -> DataFrame:
         return one.drop("comp").join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).select("doc", "sig", "comp")
