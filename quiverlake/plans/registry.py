@@ -468,7 +468,7 @@ def staged_search(spark, sf_dir):
 
 @query(_SQL["landmark_search"])
 def staged_auto(spark, sf_dir):
-    """With so few rows the full scan is taken."""
+    """The full scan, at any number of rows."""
     corpus, asked = split(spark, sf_dir)
     return result(S.staged_search(M.build(corpus, MODEL), asked, MODEL, K))
 

@@ -1,4 +1,7 @@
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
@@ -19,6 +22,30 @@ def test_as_sql(spark, name):
     assert sorted(map(tuple, got[cols].values.tolist())) == sorted(map(tuple, want[cols].values.tolist()))
 
 
+def as_sql(spark, name, folder):
+    """A query's rows and those of its SQL over the embeddings in a folder."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    cols = ["qid", "rank", "id", "score"]
+    got, want = registry.queries()[name](spark, f"file://{folder}").toPandas(), con.sql(registry.oracle_sql()[name]).df()
+    return sorted(map(tuple, got[cols].values.tolist())), sorted(map(tuple, want[cols].values.tolist()))
+
+
+def embeddings(folder, x, sizes):
+    """Vectors as a table of embeddings, dealt over files of the given sizes."""
+    (folder / "embeddings.parquet").mkdir()
+    for k, (lo, n) in enumerate(zip(np.cumsum([0, *sizes]), sizes)):
+        part = pa.table({"vec_id": np.arange(lo, lo + n), "embedding": pa.array(list(x[lo : lo + n].astype(np.float32)), pa.list_(pa.float32()))})
+        pq.write_table(part, folder / "embeddings.parquet" / f"part-{k:04d}.parquet")
+
+
+def test_staged_auto_over_many_rows(spark, tmp_path):
+    """As its SQL from 32768 rows on, too."""
+    embeddings(tmp_path, np.random.default_rng(3).standard_normal((33000, 64)), [16500, 16500])
+    got, want = as_sql(spark, "staged_auto", tmp_path)
+    assert len(got) == 500 and got == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 500
     assert set(entry.oracle_sql()) <= set(entry.queries())

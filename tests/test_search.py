@@ -50,6 +50,21 @@ def test_staged_is_full_with_long_shortlist(spark):
     assert S.shortlist_size(10, 4) == 256 and S.shortlist_size(64, 4) == 384
 
 
+def test_auto_cuts_only_on_request(spark):
+    """Two stages only from the number of rows that the caller names, for 4 bits."""
+    x = data(300, 64, 11)
+    for bits in (4, 3):
+        m = M.Model(64, bits, 48)
+        index, q = M.build(frame(spark, x), m).cache(), frame(spark, data(5, 64, 12), "qid")
+        full = pairs_of(S.landmark_search(index, q, m, 10))
+        cut = pairs_of(S.staged_search(index, q, m, 10, shortlist=12, staged=True))
+        assert cut.keys() != full.keys()
+        assert pairs_of(S.staged_search(index, q, m, 10, shortlist=12)) == full
+        assert pairs_of(S.staged_search(index, q, m, 10, shortlist=12, staged_min_rows=301)) == full
+        assert pairs_of(S.staged_search(index, q, m, 10, shortlist=12, staged_min_rows=300)) == (cut if bits == 4 else full)
+        index.unpersist()
+
+
 def test_partitions_and_query_blocks_do_not_matter(spark, monkeypatch):
     x, m = data(200, 64, 1), M.Model(64, 4, 48)
     q = frame(spark, data(9, 64, 2), "qid")
