@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from quiverlake.functions import constants as C
 
 INDEX_SCHEMA = "id bigint, codes binary, alpha double, resid double"
+#: Rows of a matrix product taken at a time (see `products`).
+BLOCK_ROWS = 384
 
 
 def matrix(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -33,6 +35,21 @@ def normalise(x: np.ndarray) -> np.ndarray:
     return np.where(n < C.TINY_NORM, 0.0, x / np.where(n < C.TINY_NORM, 1.0, n))
 
 
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """q @ x.T in blocks of BLOCK_ROWS rows of x, the last one padded with zeros.
+
+    BLAS sums in another order for other shapes and in what is left beside its tiles, so equal rows of two batches could
+    differ in the last bit and ties between them not fall to the smaller id. All blocks have one shape without such rests;
+    this holds for one BLAS thread, which is what Spark gives a Python worker with one core a task.
+    """
+    out = np.empty((len(q), len(x)))
+    for lo in range(0, len(x), BLOCK_ROWS):
+        part = x[lo : lo + BLOCK_ROWS]
+        n = len(part)
+        out[:, lo : lo + n] = (q @ np.pad(part, ((0, BLOCK_ROWS - n), (0, 0))).T)[:, :n]
+    return out
+
+
 def ratio(a: np.ndarray, b: np.ndarray, tiny: float = 1e-12) -> np.ndarray:
     return np.where(b <= tiny, 0.0, a / np.where(b <= tiny, 1.0, b))
 
@@ -78,7 +95,7 @@ class Model:
         else:
             y, _ = self.scaled(x)
             square = (y * y).sum(1)
-        land = self.pad(y @ self.basis()) if self.m else y
+        land = self.pad(np.ascontiguousarray(products(self.basis().T, y).T)) if self.m else y
         resid = np.sqrt(np.maximum(0.0, square - (land * land).sum(1))) if self.m else np.zeros(len(x))
         norm = np.sqrt((land * land).sum(1))
         u = normalise(land)

@@ -46,6 +46,21 @@ def test_staged_auto_over_many_rows(spark, tmp_path):
     assert len(got) == 500 and got == want
 
 
+@pytest.mark.parametrize("name", ["staged_auto", "exact_topk"])
+def test_ties_over_uneven_files(spark, tmp_path, name):
+    """As its SQL over copies in batches of 1 to 39 rows: equal scores fall to the smaller id, whatever stands beside them."""
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 40, 24)
+    x = np.resize(rng.standard_normal((23, 64)), (sizes.sum(), 64))
+    embeddings(tmp_path, x, sizes.tolist())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got, want = as_sql(spark, name, tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 500 and got == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 500
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -174,6 +174,25 @@ def test_approximate_modes(spark, bits, mode):
     index.unpersist()
 
 
+def test_equal_rows_encode_and_score_equally(spark):
+    """To the last bit, at any place of batches of any size; in a worker, which has one thread for products."""
+    x, q, m = data(7, 64, 1), data(50, 64, 2), M.Model(64, 4, 48)
+
+    def unequal(_):
+        codes, alpha, resid = m.encode(x)
+        bad = 0
+        for n in (1, 9, 13, 300, 1001):
+            at = np.resize(np.arange(7), n)
+            c, a, r = m.encode(x[at])
+            bad += not ((c == codes[at]).all() and (a == alpha[at]).all() and (r == resid[at]).all())
+            for k in (1, 3, 50):
+                s = S.product(q[:k], x[at], None)
+                bad += not ((s == S.product(q[:k], x, None)[:, at]).all() and np.allclose(s, q[:k] @ x[at].T))
+        return bad
+
+    assert spark.sparkContext.parallelize([0], 1).map(unequal).first() == 0
+
+
 def test_lookup_tables_of_a_zero_query():
     values, scale, bias = S.lookup_tables(np.zeros((1, 48)), M.Model(64, 4, 48))
     assert not values.any() and scale[0] == 1 and bias[0] == 0
